@@ -1,0 +1 @@
+"""No streaming operators: every capability in scope is a batch computation."""
