@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratios(left: pd.Series, right: pd.Series, floor: pd.Series) -> pd.Series:
     """Ratio per pair; 0 when a cheap upper bound shows that it stays below ``floor``."""
     matcher = SequenceMatcher(None)

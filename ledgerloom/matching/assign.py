@@ -68,3 +68,24 @@ def _round(edges: DataFrame, held: DataFrame, list_length: int) -> DataFrame:
         F.min_by(F.struct("stmt", "score", "fresh"), "stmt").alias("k")
     )
     return kept.select("session_id", "led", "k.stmt", "k.score", "k.fresh")
+
+
+def settle_small(edges: DataFrame) -> DataFrame:
+    """The serial procedure itself, one fold per session.
+
+    Only for sessions whose number of pairs was checked beforehand: each
+    session's edges are gathered in one row.
+    """
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), "led")))
+    wishes = edges.groupBy("session_id", "stmt").agg(best.alias("wishes"))
+    queue = wishes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("stmt", "wishes"))).alias("queue"))
+    nothing = F.array().cast("array<struct<stmt:bigint,led:bigint,score:double>>")
+
+    def step(done, row):
+        free = F.filter(row["wishes"], lambda w: ~F.exists(done, lambda m: m["led"] == w["led"]))
+        first = F.try_element_at(free, F.lit(1))
+        match = F.struct(row["stmt"].alias("stmt"), first["led"].alias("led"), (-first["worse"]).alias("score"))
+        return F.when(first.isNull(), done).otherwise(F.concat(done, F.array(match)))
+
+    done = queue.select("session_id", F.explode(F.aggregate("queue", nothing, step)).alias("m"))
+    return done.select("session_id", "m.led", "m.stmt", "m.score")

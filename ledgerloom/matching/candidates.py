@@ -1,9 +1,9 @@
 """Candidate pairs without comparing every statement row with every ledger row.
 
 Small sessions pair each statement row with the few ledger rows of its session.
-In large sessions pairs come from equi-joins on blocking keys, in phases: a
-phase only has to find the pairs whose score is above its cut, and only rows
-still without a partner reach the next, looser phase.
+In large sessions pairs come from equi-joins on blocking keys, in two phases:
+a tight one that only has to find the pairs whose score is above its cut, and a
+loose one for the rows still without a partner.
 
 Inside a phase each group of ledger rows that look alike to a block shows only
 its first few rows by id. A statement row may use its candidates down to the
@@ -66,7 +66,7 @@ def plan_for(profile: Deployed | Graded) -> Plan:
 
 
 def pair_sessions(statement: DataFrame, ledger: DataFrame, profile) -> DataFrame:
-    """All scored pairs of sessions whose ledgers are known to be small."""
+    """Accepted pairs of sessions whose number of pairs is known to be small."""
     pairs = statement.join(ledger, SID)
     scored = profile.add_scores(pairs)
     return scored.where(profile.accepts(F.col("score"))).select(SID, "stmt", "led", "score")
@@ -85,7 +85,7 @@ def phase_edges(
     parts = []
     for block in phase.blocks:
         left = _keyed(statement, block, "s", plan)
-        right = _shown(_keyed(ledger, block, "l", plan), block, shown)
+        right = _visible(ledger, block, plan, shown)
         names = [SID, *(f"k{i}" for i in range(len(block.keys)))]
         pairs = left.join(right, names)
         parts.append(
@@ -138,11 +138,21 @@ def _bound(profile) -> Column:
     )
 
 
-def _shown(rows: DataFrame, block: Block, shown: int) -> DataFrame:
+def _visible(ledger: DataFrame, block: Block, plan: Plan, shown: int) -> DataFrame:
+    """Keyed rows of a block, each group cut after its first ``shown`` rows.
+
+    Groups made of row values are cut before the keys are added, so the blocks
+    that share a grouping share one shuffle.
+    """
+    if block.group == KEY:
+        return _shown(_keyed(ledger, block, "l", plan), KEY, shown)
+    return _keyed(_shown(ledger, block.group, shown), block, "l", plan)
+
+
+def _shown(rows: DataFrame, group: tuple[str, ...], shown: int) -> DataFrame:
     """First rows by id of every group, free and held ones apart; the rank prunes before the shuffle."""
-    w = Window.partitionBy(SID, *block.group, "held").orderBy("led")
-    # A row can carry several keys, so equal ids of one group share a rank.
-    ranked = rows.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= shown)
+    w = Window.partitionBy(SID, *group, "held").orderBy("led")
+    ranked = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= shown)
     return ranked.withColumn("last", F.col("_r") == shown).drop("_r", "held")
 
 
@@ -304,12 +314,12 @@ def _deployed_plan(profile: Deployed) -> Plan:
     by_amount = [Block(("amount:wide", k), ALL, "pair") for k in ("date", "vendor", "word", "description")]
     by_date = [Block(("date", k), DATED, "dated") for k in ("vendor", "word", "same_description")]
     by_text = [Block(("vendor",), TEXT, "text"), Block(("word", "same_description"), TEXT, "text")]
-    phases = [
-        by_amount[:2],
-        [*by_amount, by_date[0], Block(("amount:exact",), ("l_amount",), exact + other)],
-        [*by_amount, *by_date, *by_text, Block(("amount:close",), KEY, close + other)],
-        [*by_amount, *by_date, *by_text, Block(("amount:wide",), KEY, wide + other)],
+    by_cell = [
+        Block(("amount:exact",), ("l_amount",), exact + other),
+        Block(("amount:close",), KEY, close + other),
+        Block(("amount:wide",), KEY, wide + other),
     ]
+    phases = [by_amount[:2], [*by_amount, *by_date, *by_text, *by_cell]]
     levels = {
         0: (0.0, wide, close, exact),
         1: (0.0, other, profile.date_points[0]),

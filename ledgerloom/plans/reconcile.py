@@ -11,11 +11,11 @@ from ledgerloom.functions import values
 from ledgerloom.lineage import checkpoint
 from ledgerloom.matching import candidates as cand
 from ledgerloom.matching import scoring
-from ledgerloom.matching.assign import empty_held, settle
+from ledgerloom.matching.assign import empty_held, settle, settle_small
 
 SID = "session_id"
-# A session with a larger ledger is blocked instead of paired row by row.
-SMALL_LEDGER_ROWS = 256
+# A session with more pairs than this is blocked instead of paired row by row.
+SMALL_SESSION_PAIRS = 16_384
 # Rows of one look-alike group shown to a phase before a statement row must ask again.
 ROWS_SHOWN = 64
 
@@ -71,7 +71,7 @@ def reconcile(
     statement: DataFrame,
     profile: str | scoring.Deployed | scoring.Graded = "deployed",
     amount_sign: str = "as_is",
-    small_ledger_rows: int = SMALL_LEDGER_ROWS,
+    small_session_pairs: int = SMALL_SESSION_PAIRS,
     rows_shown: int = ROWS_SHOWN,
 ) -> Reconciliation:
     """Match every statement row, in id order, with its best ledger row still free.
@@ -81,7 +81,7 @@ def reconcile(
     """
     rules = scoring.profile(profile)
     led, stm = prepared(ledger, statement, rules, amount_sign)
-    held = assign(led, stm, rules, small_ledger_rows, rows_shown)
+    held = assign(led, stm, rules, small_session_pairs, rows_shown)
     return Reconciliation(ledger, statement, scored_matches(held, led, stm, rules), rules)
 
 
@@ -98,10 +98,9 @@ def prepared(ledger: DataFrame, statement: DataFrame, rules, amount_sign: str =
     return side(ledger, "csv", "l", "led"), side(statement, "image", "s", "stmt")
 
 
-def assign(led: DataFrame, stm: DataFrame, rules, small_ledger_rows: int, rows_shown: int) -> DataFrame:
+def assign(led: DataFrame, stm: DataFrame, rules, small_pairs: int, rows_shown: int) -> DataFrame:
     """Held pairs: session_id, led, stmt, score."""
-    sizes = led.groupBy(SID).agg(F.count(F.lit(1)).alias("n"))
-    large = checkpoint(sizes.where(F.col("n") > small_ledger_rows).select(SID))
+    large = large_sessions(led, stm, small_pairs)
     if large.isEmpty():
         return _assign_small(led, stm, rules)
     small = _assign_small(led.join(large, SID, "left_anti"), stm.join(large, SID, "left_anti"), rules)
@@ -114,49 +113,59 @@ def assign(led: DataFrame, stm: DataFrame, rules, small_ledger_rows: int, rows_s
     return small.unionByName(big)
 
 
-def _assign_small(led: DataFrame, stm: DataFrame, rules) -> DataFrame:
-    edges = checkpoint(cand.pair_sessions(stm, led, rules))
-    return settle(edges, empty_held(edges)).drop("fresh")
+def large_sessions(led: DataFrame, stm: DataFrame, small_pairs: int) -> DataFrame:
+    """Sessions with more row pairs than may be compared one by one."""
+    n_led, n_stm = (df.groupBy(SID).agg(F.count(F.lit(1)).alias(n)) for df, n in ((led, "nl"), (stm, "ns")))
+    return checkpoint(n_led.join(n_stm, SID).where(F.col("nl") * F.col("ns") > small_pairs).select(SID))
 
 
-def _assign_large(led: DataFrame, stm: DataFrame, rules, rows_shown: int) -> DataFrame:
-    """Phase by phase; a row that loses its partner goes on from the phase it was in."""
-    plan = cand.plan_for(rules)
-    plan = cand.dictionaries(plan, stm, led)
+def _with_dictionaries(rules, led: DataFrame, stm: DataFrame) -> cand.Plan:
+    plan = cand.dictionaries(cand.plan_for(rules), stm, led)
     plan.vendors = checkpoint(plan.vendors)
     if plan.descriptions is not None:
         plan.descriptions = checkpoint(plan.descriptions)
-    last = len(plan.phases)
-    state = stm.select(SID, "stmt", F.lit(0).alias("phase"))
+    return plan
+
+
+def _assign_small(led: DataFrame, stm: DataFrame, rules) -> DataFrame:
+    return settle_small(cand.pair_sessions(stm, led, rules))
+
+
+def _assign_large(led: DataFrame, stm: DataFrame, rules, rows_shown: int) -> DataFrame:
+    """Phase by phase, each repeated until nobody without a partner has candidates left."""
+    plan = _with_dictionaries(rules, led, stm)
+    everyone = stm.select(SID, "stmt")
     held = empty_held(
-        stm.select(SID, "stmt", F.lit(0).cast("long").alias("led"), F.lit(0.0).alias("score"))
+        everyone.select(SID, "stmt", F.lit(0).cast("long").alias("led"), F.lit(0.0).alias("score"))
     )
-    shown = {p: rows_shown for p in range(last)}
-    while True:
-        waiting = state.join(held.select(SID, "stmt"), [SID, "stmt"], "left_anti").where(F.col("phase") < last)
-        number = waiting.agg(F.min("phase")).first()[0]
-        if number is None:
-            return held.drop("fresh")
-        active = checkpoint(waiting.where(F.col("phase") == number).select(SID, "stmt"))
-        edges = checkpoint(
-            cand.phase_edges(
-                plan, number, stm.join(active, [SID, "stmt"]), _takeable(led, held, active), shown[number]
+    for number in range(len(plan.phases)):
+        # Rows whose candidates are all known, and every edge found in this phase.
+        complete, edges, shown, turn = everyone.where(F.lit(False)), None, rows_shown, 0
+        while True:
+            free = everyone.join(held.select(SID, "stmt"), [SID, "stmt"], "left_anti")
+            active = checkpoint(free.join(complete, [SID, "stmt"], "left_anti"))
+            if active.isEmpty():
+                break
+            asking = active
+            if turn == 1:
+                # Some rows lost a partner from an earlier phase. Look up all rows of their
+                # sessions now, so that a chain of such losses needs no further look-ups.
+                unsettled = everyone.join(active.select(SID).distinct(), SID, "left_semi")
+                asking = checkpoint(unsettled.join(complete, [SID, "stmt"], "left_anti"))
+            found = checkpoint(
+                cand.phase_edges(
+                    plan, number, stm.join(asking, [SID, "stmt"]), _takeable(led, held, asking), shown
+                )
             )
-        )
-        real = edges.where(F.col("led").isNotNull()).select(SID, "stmt", "led", "score")
-        held = settle(real, held)
-        # Done with this phase: rows that ended without a partner and saw everything.
-        cut_off = edges.where("cut_off").select(SID, "stmt").distinct()
-        over = active.join(held.select(SID, "stmt"), [SID, "stmt"], "left_anti").join(
-            cut_off, [SID, "stmt"], "left_anti"
-        )
-        moved = over.withColumn("moved", F.lit(1))
-        state = checkpoint(
-            state.join(moved, [SID, "stmt"], "left").select(
-                SID, "stmt", (F.col("phase") + F.coalesce("moved", F.lit(0))).alias("phase")
+            usable = found.where(F.col("led").isNotNull()).select(SID, "stmt", "led", "score")
+            edges = usable if edges is None else edges.unionByName(usable)
+            held = settle(edges, held)
+            cut_off = found.where("cut_off").select(SID, "stmt").distinct()
+            complete = checkpoint(
+                complete.unionByName(asking.join(cut_off, [SID, "stmt"], "left_anti"))
             )
-        )
-        shown[number] *= 4
+            shown, turn = shown * 4, turn + 1
+    return held.drop("fresh")
 
 
 def _takeable(led: DataFrame, held: DataFrame, active: DataFrame) -> DataFrame:
@@ -194,11 +203,44 @@ def scored_matches(held: DataFrame, led: DataFrame, stm: DataFrame, rules) -> Da
     )
 
 
-def best_matches(ledger: DataFrame, statement: DataFrame, profile="deployed") -> DataFrame:
+def best_matches(
+    ledger: DataFrame,
+    statement: DataFrame,
+    profile="deployed",
+    small_session_pairs: int = SMALL_SESSION_PAIRS,
+    rows_shown: int = ROWS_SHOWN,
+) -> DataFrame:
     """Best ledger row of every statement row, although several may share it."""
     rules = scoring.profile(profile)
     led, stm = prepared(ledger, statement, rules)
-    edges = cand.pair_sessions(stm, led, rules)
+    large = large_sessions(led, stm, small_session_pairs)
+    if large.isEmpty():
+        return _best(cand.pair_sessions(stm, led, rules))
+    found = _best(
+        cand.pair_sessions(stm.join(large, SID, "left_anti"), led.join(large, SID, "left_anti"), rules)
+    )
+    led, stm = (checkpoint(df.join(large, SID, "left_semi")) for df in (led, stm))
+    plan = _with_dictionaries(rules, led, stm)
+    rows = led.withColumn("held", F.lit(False))
+    asking = stm
+    for number in range(len(plan.phases)):
+        shown = rows_shown
+        while not asking.isEmpty():
+            edges = checkpoint(cand.phase_edges(plan, number, asking, rows, shown))
+            best = _best(edges.where(F.col("led").isNotNull()))
+            found = found.unionByName(best)
+            # Only a row that was cut off before its first candidate has to look again.
+            again = edges.where("cut_off").join(best, [SID, "stmt"], "left_anti")
+            left_over = asking.join(best, [SID, "stmt"], "left_anti")
+            retry = checkpoint(left_over.join(again.select(SID, "stmt"), [SID, "stmt"], "left_semi"))
+            rest = left_over.join(again.select(SID, "stmt"), [SID, "stmt"], "left_anti")
+            asking, shown = retry, shown * 4
+            later = rest if shown == rows_shown * 4 else later.unionByName(rest)
+        asking = checkpoint(later)
+    return found
+
+
+def _best(edges: DataFrame) -> DataFrame:
     best = F.min_by(F.struct("led", "score"), F.struct((-F.col("score")).alias("s"), "led"))
     return edges.groupBy(SID, "stmt").agg(best.alias("b")).select(
         SID, "stmt", F.col("b.led").alias("led"), F.col("b.score").alias("score")
