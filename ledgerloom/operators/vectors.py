@@ -62,7 +62,8 @@ def similar_transactions(
     ``query`` is one vector, given as a literal array or a scalar subquery, so
     the scan needs no join and ends in a top-k per task and a merge.
     """
-    scored = index.withColumn("similarity", cosine(F.col("embedding"), query))
+    asked = index.withColumn("_query", query)
+    scored = asked.withColumn("similarity", cosine(F.col("embedding"), F.col("_query"))).drop("_query")
     nearest = scored.orderBy(F.desc("similarity"), F.desc(id_column)).limit(k)
     return nearest.where(F.col("similarity") > min_similarity)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,8 @@ def statement(rows: DataFrame) -> DataFrame:
         .when(t % 3 == 0, F.split("vendor", " ")[0])
         .otherwise(F.col("vendor"))
         .alias("vendor"),
-        F.when(t % 5 == 1, F.round(F.col("amount") * 1.015, 2))
-        .when(t % 5 == 4, F.round(F.col("amount") * 1.5, 2))
+        F.when(t % 5 == 1, _raised("1.015"))
+        .when(t % 5 == 4, _raised("1.5"))
         .otherwise(F.col("amount"))
         .alias("amount"),
         F.when(t % 7 != 3, F.col("description")).alias("description"),
@@ -115,3 +117,8 @@ def vector_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def _plain(col: Column) -> Column:
     return col.cast("decimal(18,2)").cast("string")
+
+
+def _raised(factor: str) -> Column:
+    """Amount times a factor, rounded half up to cents."""
+    return F.round(F.col("amount").cast("decimal(18,2)") * F.lit(Decimal(factor)), 2).cast("double")
