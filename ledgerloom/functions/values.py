@@ -47,6 +47,11 @@ def rounded(col: Column, places: int) -> Column:
     return F.round(col, places).cast("double")
 
 
+def half_up(col: Column, places: int) -> Column:
+    """Round a computed double half up, free of the noise of its last bits."""
+    return F.round(col.try_cast("decimal(28,8)"), places).cast("double")
+
+
 def money_text(col: Column) -> Column:
     """``1,234.50``"""
     return F.format_number(F.round(money(col), 2), 2)

@@ -78,7 +78,7 @@ def vendor_stats(df: DataFrame, keys: Sequence[str] = (), ordered: bool = True)
         "vendor",
         values.rounded(F.col("_total"), 2).alias("total_amount"),
         F.col("_n").alias("transaction_count"),
-        F.round(_mean(), 2).alias("average_amount"),
+        values.half_up(_mean(), 2).alias("average_amount"),
     )
     return out.orderBy(*keys, F.desc("total_amount"), "vendor") if ordered else out
 

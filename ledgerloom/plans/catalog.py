@@ -20,7 +20,7 @@ FORMATS = ("MM/dd/yyyy",)
 
 
 def _r(df: DataFrame, places: int, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, places) for n in names})
+    return df.withColumns({n: values.half_up(F.col(n), places) for n in names})
 
 
 def _month_text(df: DataFrame) -> DataFrame:

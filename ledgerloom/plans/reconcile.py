@@ -284,7 +284,7 @@ def summary(ledger: DataFrame, statement: DataFrame, matches: DataFrame) -> Data
         c["img"].alias("total_image_transactions"),
         c["csv"].alias("total_csv_transactions"),
         c["hits"].alias("total_matches"),
-        F.coalesce(F.round(rate, 1), F.lit(0.0)).alias("match_rate"),
+        F.coalesce(values.half_up(rate, 1), F.lit(0.0)).alias("match_rate"),
         c["high"].alias("high_confidence_matches"),
         c["medium"].alias("medium_confidence_matches"),
         c["low"].alias("low_confidence_matches"),
@@ -292,7 +292,7 @@ def summary(ledger: DataFrame, statement: DataFrame, matches: DataFrame) -> Data
         (c["csv"] - c["hits"]).alias("unmatched_csv_transactions"),
         values.rounded(total, 2).alias("total_image_amount"),
         values.rounded(matched, 2).alias("total_matched_amount"),
-        F.coalesce(F.round(share, 1), F.lit(0.0)).alias("reconciliation_percentage"),
+        F.coalesce(values.half_up(share, 1), F.lit(0.0)).alias("reconciliation_percentage"),
     )
 
 
