@@ -128,7 +128,8 @@ def _with_dictionaries(rules, led: DataFrame, stm: DataFrame) -> cand.Plan:
 
 
 def _assign_small(led: DataFrame, stm: DataFrame, rules) -> DataFrame:
-    return settle_small(cand.pair_sessions(stm, led, rules))
+    # Three numbers per match, kept because every part of the result reads them.
+    return checkpoint(settle_small(cand.pair_sessions(stm, led, rules)))
 
 
 def _assign_large(led: DataFrame, stm: DataFrame, rules, rows_shown: int) -> DataFrame:
