@@ -5,45 +5,37 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
 @F.pandas_udf(DoubleType())
-def _ratios(left: pd.Series, right: pd.Series, floor: pd.Series) -> pd.Series:
-    """Ratio per pair; 0 when a cheap upper bound shows that it stays below ``floor``."""
-    matcher = SequenceMatcher(None)
-    out = []
-    for a, b, low in zip(left, right, floor):
-        matcher.set_seqs(a, b)
-        possible = matcher.real_quick_ratio() >= low and matcher.quick_ratio() >= low
-        out.append(matcher.ratio() if possible else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
-def with_sequence_ratio(
-    pairs: DataFrame, left: str, right: str, out: str, floor: Column | None = None
-) -> DataFrame:
-    """Add the sequence ratio of two text columns, ledger side first.
-
-    The ratio is computed once per distinct pair of strings that differ. Pairs
-    whose ratio cannot reach ``floor`` may get 0 instead. Missing or blank text
-    has ratio 0.
-    """
-    low = F.lit(0.0) if floor is None else floor
-    needed = (F.length(left) > 0) & (F.length(right) > 0) & (F.col(left) != F.col(right))
-    distinct = (
-        pairs.where(needed & (low <= 1))
-        .groupBy(F.col(left).alias("_a"), F.col(right).alias("_b"))
-        .agg(F.min(low).alias("_floor"))
-    )
-    scored = distinct.select("_a", "_b", _ratios("_a", "_b", "_floor").alias("_ratio"))
-    joined = pairs.join(scored, (F.col(left) == F.col("_a")) & (F.col(right) == F.col("_b")), "left")
-    value = F.when(needed, F.coalesce("_ratio", F.lit(0.0))).otherwise(
-        F.when((F.length(left) > 0) & (F.col(left) == F.col(right)), 1.0).otherwise(0.0)
-    )
-    return joined.withColumn(out, value).drop("_a", "_b", "_ratio")
+def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Ratio per pair, once per distinct pair of a batch; no ratio where a side is null."""
+    pairs = pd.DataFrame({"a": left, "b": right})
+    distinct = pairs.dropna().drop_duplicates().sort_values("b")
+    matcher, previous, found = SequenceMatcher(None), None, []
+    # The matcher indexes its right string, so equal ones in a row are cheap.
+    for a, b in zip(distinct["a"], distinct["b"]):
+        if b != previous:
+            matcher.set_seq2(b)
+            previous = b
+        matcher.set_seq1(a)
+        found.append(matcher.ratio())
+    distinct = distinct.assign(ratio=pd.Series(found, index=distinct.index, dtype="float64"))
+    return pairs.merge(distinct, on=["a", "b"], how="left")["ratio"]
+
+
+def sequence_ratio(needed: Column, left: Column, right: Column) -> Column:
+    """Sequence ratio of two texts, ledger side first; null where it is not needed."""
+    return _ratios(F.when(needed, left), F.when(needed, right))
+
+
+def most_similar(left: Column, right: Column) -> Column:
+    """Upper bound of the sequence ratio from the edit distance, without Python."""
+    joint = F.length(left) + F.length(right)
+    return F.lit(1.0 + 1e-9) - F.levenshtein(left, right) / F.nullif(joint, F.lit(0))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.functions.similarity import with_sequence_ratio, word_jaccard
+from ledgerloom.functions.similarity import most_similar, sequence_ratio, word_jaccard
 from ledgerloom.matching.scoring import Deployed, Graded
 
 ALL = ("l_amount", "l_date", "l_vendor", "l_description")
@@ -280,9 +280,11 @@ def fuzzy_pairs(statement: DataFrame, ledger: DataFrame, floor: float) -> DataFr
         .select(SID, "s", "l")
         .distinct()
     )
-    rated = with_sequence_ratio(meets, "l", "s", "ratio", F.lit(floor))
+    near = most_similar(F.col("l"), F.col("s")) >= floor
+    rated = meets.withColumn("ratio", sequence_ratio(near, F.col("l"), F.col("s")))
     jaccard = word_jaccard(text.word_set(F.col("l")), text.word_set(F.col("s")))
-    similar = rated.where((F.col("ratio") >= floor) | (jaccard >= floor)).select(SID, "s", "l")
+    alike = F.coalesce(F.col("ratio") >= floor, F.lit(False)) | (jaccard >= floor)
+    similar = rated.where(alike).select(SID, "s", "l")
     filled = lambda df, n: df.where(F.length(n) > 0)
     return similar.unionByName(contained_pairs(filled(statement, "s"), filled(ledger, "l"))).distinct()
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.functions.similarity import with_sequence_ratio, word_jaccard, word_overlap
+from ledgerloom.functions.similarity import most_similar, sequence_ratio, word_jaccard, word_overlap
 from ledgerloom.operators.clean import prepare_for_matching
 
 SIDE_COLUMNS = ("amount", "date", "vendor", "description")
@@ -203,27 +203,6 @@ class Graded:
             F.lit(0.0),
         )
 
-    def vendor_score(self, ratio: Column) -> Column:
-        led, s = _c("l_vendor"), _c("s_vendor")
-        filled = (F.length(led) > 0) & (F.length(s) > 0)
-        jaccard = word_jaccard(text.word_set(led), text.word_set(s))
-        return (
-            F.when(~F.coalesce(filled, F.lit(False)), 0.0)
-            .when(led == s, 1.0)
-            .when(led.contains(s) | s.contains(led), self.part_vendor)
-            .otherwise(F.greatest(ratio, jaccard))
-        )
-
-    def description_score(self, ratio: Column) -> Column:
-        led, s = _c("l_description"), _c("s_description")
-        filled = (F.length(led) > 0) & (F.length(s) > 0)
-        overlap = word_overlap(text.word_set(led), text.word_set(s))
-        return (
-            F.when(~F.coalesce(filled, F.lit(False)), 0.0)
-            .when(led == s, 1.0)
-            .otherwise(F.greatest(ratio, overlap))
-        )
-
     def total(self, a: Column, d: Column, v: Column, e: Column) -> Column:
         wa, wd, wv, we = self.weights
         return F.lit(0.0) + a * wa + d * wd + v * wv + e * we
@@ -240,21 +219,47 @@ class Graded:
         return (self.threshold - 0.0005 - we) / wv
 
     def add_scores(self, pairs: DataFrame) -> DataFrame:
-        parts = pairs.withColumns({"a": self.amount_score(), "d": self.date_score()})
-        alone = (_c("a") == 0) & (_c("d") == 0)
-        contained = _c("l_vendor").contains(_c("s_vendor")) | _c("s_vendor").contains(_c("l_vendor"))
-        # A contained name scores on its own, so its ratio is never used.
-        floor = F.when(contained, 2.0).when(alone, self.vendor_floor()).otherwise(0.0)
-        parts = with_sequence_ratio(parts, "l_vendor", "s_vendor", "_vr", floor)
-        parts = parts.withColumn("v", self.vendor_score(_c("_vr")))
-        hopeful = parts.withColumn("_most", self.rank(self.total(_c("a"), _c("d"), _c("v"), F.lit(1.0))))
-        wanted = F.when(self.accepts(_c("_most")), 0.0).otherwise(2.0)
-        parts = with_sequence_ratio(hopeful, "l_description", "s_description", "_er", wanted)
-        parts = parts.withColumn("e", self.description_score(_c("_er")))
-        raw = self.total(_c("a"), _c("d"), _c("v"), _c("e"))
-        return parts.withColumn("raw_score", raw).withColumn("score", self.rank(_c("raw_score"))).drop(
-            "_vr", "_er", "_most"
+        """Scores of each pair.
+
+        The sequence ratio leaves the JVM, so it is only asked for where the
+        pair can still reach the threshold with the most its texts could give;
+        hopeless pairs keep lower text scores, which changes no decision.
+        """
+        led, s = _c("l_vendor"), _c("s_vendor")
+        parts = pairs.withColumns(
+            {
+                "a": self.amount_score(),
+                "d": self.date_score(),
+                "_plain": F.when(~_both_filled(led, s), 0.0)
+                .when(led == s, 1.0)
+                .when(led.contains(s) | s.contains(led), self.part_vendor),
+            }
+        )
+        words = F.when(_c("_plain").isNull(), word_jaccard(text.word_set(led), text.word_set(s)))
+        parts = parts.withColumn("_words", words)
+        most = F.coalesce("_plain", F.greatest(_c("_words"), most_similar(led, s)))
+        parts = parts.withColumn("_most", most)
+        best = self.rank(self.total(_c("a"), _c("d"), _c("_most"), F.lit(1.0)))
+        parts = parts.withColumn("_hope", self.accepts(best))
+
+        ld, sd = _c("l_description"), _c("s_description")
+        open_text = _both_filled(ld, sd) & (ld != sd) & _c("_hope")
+        ask_vendor = _c("_hope") & _c("_plain").isNull() & (_c("_most") > _c("_words"))
+        parts = parts.withColumns(
+            {"_vr": sequence_ratio(ask_vendor, led, s), "_er": sequence_ratio(open_text, ld, sd)}
         )
+        overlap = word_overlap(text.word_set(ld), text.word_set(sd))
+        described = (
+            F.when(~_both_filled(ld, sd), 0.0)
+            .when(ld == sd, 1.0)
+            .when(_c("_hope"), F.greatest(F.coalesce("_er", F.lit(0.0)), overlap))
+            .otherwise(0.0)
+        )
+        named = F.coalesce("_plain", F.greatest(_c("_words"), F.coalesce("_vr", F.lit(0.0))))
+        parts = parts.withColumns({"v": named, "e": described})
+        raw = self.total(_c("a"), _c("d"), _c("v"), _c("e"))
+        scored = parts.withColumn("raw_score", raw).withColumn("score", self.rank(_c("raw_score")))
+        return scored.drop("_plain", "_words", "_most", "_hope", "_vr", "_er")
 
     def match_type(self) -> Column:
         raw = _c("raw_score")
@@ -307,6 +312,10 @@ def profile(name: str | Deployed | Graded):
     raise ValueError(f"unknown profile: {name}")
 
 
+def _both_filled(x: Column, y: Column) -> Column:
+    return F.coalesce((F.length(x) > 0) & (F.length(y) > 0), F.lit(False))
+
+
 def _listed(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
