@@ -27,6 +27,11 @@ def word_set(col: Column) -> Column:
     return F.array_distinct(words(col))
 
 
+def cleaned_words(col: Column) -> Column:
+    """Word set of text that is already in match form: single spaces, no blanks at the ends."""
+    return F.array_distinct(F.split(col, " "))
+
+
 def _without(col: Column, stop: tuple[str, ...]) -> Column:
     return F.filter(words(F.upper(col)), lambda w: ~w.isin(*stop))
 

@@ -76,8 +76,11 @@ def settle_small(edges: DataFrame) -> DataFrame:
     Only for sessions whose number of pairs was checked beforehand: each
     session's edges are gathered in one row.
     """
+    # One shuffle serves both groupings; a fixed number of partitions keeps the folds apart.
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = edges.repartition(tasks, "session_id")
     best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), "led")))
-    wishes = edges.groupBy("session_id", "stmt").agg(best.alias("wishes"))
+    wishes = spread.groupBy("session_id", "stmt").agg(best.alias("wishes"))
     queue = wishes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("stmt", "wishes"))).alias("queue"))
     nothing = F.array().cast("array<struct<stmt:bigint,led:bigint,score:double>>")
 

@@ -68,7 +68,7 @@ def plan_for(profile: Deployed | Graded) -> Plan:
 def pair_sessions(statement: DataFrame, ledger: DataFrame, profile) -> DataFrame:
     """Accepted pairs of sessions whose number of pairs is known to be small."""
     pairs = statement.join(ledger, SID)
-    scored = profile.add_scores(pairs)
+    scored = profile.add_scores(pairs, hopeful_only=True)
     return scored.where(profile.accepts(F.col("score"))).select(SID, "stmt", "led", "score")
 
 

@@ -100,7 +100,7 @@ class Deployed:
     def accepts(self, score: Column) -> Column:
         return score > self.threshold
 
-    def add_scores(self, pairs: DataFrame) -> DataFrame:
+    def add_scores(self, pairs: DataFrame, hopeful_only: bool = False) -> DataFrame:
         parts = pairs.withColumns(
             {
                 "a": self.amount_score(),
@@ -109,7 +109,8 @@ class Deployed:
                 "e": self.description_score(),
             }
         )
-        return parts.withColumn("score", self.total(_c("a"), _c("d"), _c("v"), _c("e")))
+        scored = parts.withColumn("score", self.total(_c("a"), _c("d"), _c("v"), _c("e")))
+        return scored.where(self.accepts(_c("score"))) if hopeful_only else scored
 
     def match_type(self) -> Column:
         return (
@@ -218,8 +219,8 @@ class Graded:
         _, _, wv, we = self.weights
         return (self.threshold - 0.0005 - we) / wv
 
-    def add_scores(self, pairs: DataFrame) -> DataFrame:
-        """Scores of each pair.
+    def add_scores(self, pairs: DataFrame, hopeful_only: bool = False) -> DataFrame:
+        """Scores of each pair, or only of those that can still be accepted.
 
         The sequence ratio leaves the JVM, so it is only asked for where the
         pair can still reach the threshold with the most its texts could give;
@@ -235,12 +236,14 @@ class Graded:
                 .when(led.contains(s) | s.contains(led), self.part_vendor),
             }
         )
-        words = F.when(_c("_plain").isNull(), word_jaccard(text.word_set(led), text.word_set(s)))
+        words = F.when(_c("_plain").isNull(), word_jaccard(text.cleaned_words(led), text.cleaned_words(s)))
         parts = parts.withColumn("_words", words)
         most = F.coalesce("_plain", F.greatest(_c("_words"), most_similar(led, s)))
         parts = parts.withColumn("_most", most)
         best = self.rank(self.total(_c("a"), _c("d"), _c("_most"), F.lit(1.0)))
         parts = parts.withColumn("_hope", self.accepts(best))
+        if hopeful_only:
+            parts = parts.where("_hope")
 
         ld, sd = _c("l_description"), _c("s_description")
         open_text = _both_filled(ld, sd) & (ld != sd) & _c("_hope")
@@ -248,7 +251,7 @@ class Graded:
         parts = parts.withColumns(
             {"_vr": sequence_ratio(ask_vendor, led, s), "_er": sequence_ratio(open_text, ld, sd)}
         )
-        overlap = word_overlap(text.word_set(ld), text.word_set(sd))
+        overlap = word_overlap(text.cleaned_words(ld), text.cleaned_words(sd))
         described = (
             F.when(~_both_filled(ld, sd), 0.0)
             .when(ld == sd, 1.0)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text
+
 # Retrieval depth, similarity floor and context length.
 TOP_K = 5
 MIN_SIMILARITY = 0.1
@@ -29,14 +31,14 @@ def embed_text(
     """
     if encoder is not None:
         return df.withColumn(out, encoder(F.col(column)))
-    from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+    from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    filled = df.withColumn("_text", F.coalesce(F.col(column), F.lit("")))
-    tokens = Tokenizer(inputCol="_text", outputCol="_words").transform(filled)
+    words = F.coalesce(text.words(F.lower(F.col(column))), F.array().cast("array<string>"))
+    tokens = df.withColumn("_words", words)
     counts = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(tokens)
     unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
-    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_text", "_words", "_tf", "_unit")
+    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
 
 
 def dot(a: Column, b: Column) -> Column:
