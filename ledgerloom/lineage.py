@@ -13,6 +13,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        # Only a local session without the setting, as in tests, gets a folder of its own.
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
+        if shared is None:
+            # Only a local session, as in tests, may use a folder of one machine.
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)

@@ -363,4 +363,15 @@ ORACLES: dict[str, str] = {
         SELECT CAST(label AS VARCHAR) AS query_id, CAST(k AS INTEGER) AS rank, vec_id AS doc_id, round(similarity, 6) AS similarity FROM r WHERE k <= 5 AND similarity > 1e-1""",
     "session_catalog": _ledger("SELECT session_id, count(*) AS transaction_count, max(date) AS created_at FROM ledger GROUP BY 1"),
     "session_count": _ledger("SELECT count(DISTINCT session_id) AS session_count FROM ledger"),
+    "records": _ledger("SELECT CAST(to_json({'session_id': session_id, 'txn_id': txn_id, 'date': CAST(date AS VARCHAR), 'vendor': vendor, 'amount': amount, 'category': category, 'description': description}) AS VARCHAR) AS record FROM ledger"),
 }
+
+_FLAGGED = {"month_over_month": "anomaly_mom", "category_deviation": "anomaly_category", "vendor_frequency": "anomaly_frequency"}
+ORACLES["anomalies"] = " UNION ALL ".join(
+    [f"SELECT '{rule}' AS rule, count(*) AS findings FROM ({ORACLES[key]}) WHERE is_anomaly HAVING count(*) > 0" for rule, key in _FLAGGED.items()]
+    + [
+        f"SELECT 'new_vendor', count(*) FROM ({ORACLES['anomaly_new_vendor']}) HAVING count(*) > 0",
+        f"SELECT 'amount_outlier', count(*) FROM ({ORACLES['anomaly_amount'].replace('5e-1', '15e-1')}) HAVING count(*) > 0",
+        f"SELECT 'seasonal_spike', count(*) FROM ({ORACLES['anomaly_seasonal'].replace('11e-1', '2')}) WHERE is_anomaly HAVING count(*) > 0",
+    ]
+)

@@ -93,7 +93,8 @@ def prepared(ledger: DataFrame, statement: DataFrame, rules, amount_sign: str =
         if amount_sign == "absolute":
             df = df.withColumn("amount", F.abs("amount"))
         names = {c: f"{letter}_{c}" for c in scoring.SIDE_COLUMNS} | {"txn_id": key}
-        return rules.prepare(df, source).withColumnsRenamed(names)
+        ready = rules.prepare(df, source).withColumn("txn_id", F.col("txn_id").cast("long"))
+        return ready.withColumnsRenamed(names)
 
     return side(ledger, "csv", "l", "led"), side(statement, "image", "s", "stmt")
 
@@ -225,7 +226,7 @@ def best_matches(
     rows = led.withColumn("held", F.lit(False))
     asking = stm
     for number in range(len(plan.phases)):
-        shown = rows_shown
+        shown, later = rows_shown, asking.where(F.lit(False))
         while not asking.isEmpty():
             edges = checkpoint(cand.phase_edges(plan, number, asking, rows, shown))
             best = _best(edges.where(F.col("led").isNotNull()))
@@ -235,8 +236,7 @@ def best_matches(
             left_over = asking.join(best, [SID, "stmt"], "left_anti")
             retry = checkpoint(left_over.join(again.select(SID, "stmt"), [SID, "stmt"], "left_semi"))
             rest = left_over.join(again.select(SID, "stmt"), [SID, "stmt"], "left_anti")
-            asking, shown = retry, shown * 4
-            later = rest if shown == rows_shown * 4 else later.unionByName(rest)
+            asking, shown, later = retry, shown * 4, later.unionByName(rest)
         asking = checkpoint(later)
     return found
 
