@@ -99,8 +99,8 @@ def monthly_documents(
     group = [*keys, "month"]
     month = monthly_summary(df, keys)
     pages = large_pages(df, keys, rows_per_page)
-    first = pages.where(F.col("page") == 0).drop("page")
-    head = month.join(first, group, "left").withColumn("page", F.lit(0).cast("long"))
+    # One row per page; a month without large transactions still has its first page.
+    rows = month.join(pages, group, "left").withColumn("page", F.coalesce("page", F.lit(0)))
     period = values.month_text(F.col("month"))
     # Headings of the summary.
     body = F.concat(
@@ -128,22 +128,18 @@ def monthly_documents(
         F.col("top_category"),
         F.lit("monthly_summary").alias("document_type"),
     )
-    more = month.join(pages.where(F.col("page") > 0), group)
     continued = F.concat(
         F.lit("\nFINANCIAL SUMMARY FOR "), period,
         F.lit("\n\nLARGE TRANSACTIONS (95th percentile), continued:\n"), F.col("lines"), F.lit("\n"),
     )
-
-    def as_document(rows: DataFrame, content: Column) -> DataFrame:
-        return rows.select(
-            *keys,
-            F.concat_ws("-", F.lit("month"), period, F.when(F.col("page") > 0, F.col("page").cast("string"))).alias("doc_id"),
-            F.lit("monthly_summary").alias("document_type"),
-            content.alias("text"),
-            metadata.alias("metadata"),
-        )
-
-    return as_document(head, body).unionByName(as_document(more, continued))
+    number = F.when(F.col("page") > 0, F.col("page").cast("string"))
+    return rows.select(
+        *keys,
+        F.concat_ws("-", F.lit("month"), period, number).alias("doc_id"),
+        F.lit("monthly_summary").alias("document_type"),
+        F.when(F.col("page") == 0, body).otherwise(continued).alias("text"),
+        metadata.alias("metadata"),
+    )
 
 
 def large_pages(df: DataFrame, keys: Sequence[str], rows_per_page: int) -> DataFrame:
