@@ -1,22 +1,29 @@
-"""Cutting lineage in loops through reliable checkpoints."""
+"""Cutting lineage in loops through reliable checkpoints in a shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a session on one machine, as in tests, gets a folder of its own when none is set.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise on the shared checkpoint folder, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Materialise on the shared folder, so a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            # Only a local session, as in tests, may use a folder of one machine.
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
