@@ -142,7 +142,7 @@ place AS (
 ), hit AS (
   SELECT p.doc_id, p.k, p.n, win.item_id FROM (SELECT doc_id, k, n, list_slice(w, k, k + n - 1) AS win FROM place) p JOIN win ON p.win = win.win
 ), words AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM hit) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM hit) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
 )
