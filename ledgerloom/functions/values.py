@@ -30,8 +30,14 @@ def to_day(col: Column, formats: Sequence[str] = ()) -> Column:
     return F.coalesce(text.try_cast("date"), *(F.try_to_date(text, f) for f in formats))
 
 
+def finite(col: Column) -> Column:
+    """A number, or null where it is infinite or not a number."""
+    return F.when(F.abs(col.cast("double")) < float("inf"), col)
+
+
 def money(col: Column) -> Column:
-    return col.try_cast(MONEY)
+    """Money as a decimal; a finite amount that does not fit raises rather than leave a total."""
+    return finite(col).cast(MONEY)
 
 
 def total(col: Column) -> Column:
@@ -49,7 +55,7 @@ def rounded(col: Column, places: int) -> Column:
 
 def half_up(col: Column, places: int) -> Column:
     """Round a computed double half up, free of the noise of its last bits."""
-    return F.round(col.try_cast("decimal(28,8)"), places).cast("double")
+    return F.round(finite(col).cast("decimal(28,8)"), places).cast("double")
 
 
 def money_text(col: Column) -> Column:

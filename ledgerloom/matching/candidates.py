@@ -29,6 +29,8 @@ DATED = ("l_date", "l_vendor", "l_description")
 TEXT = ("l_vendor", "l_description")
 KEY = ("k0",)
 SID = "session_id"
+# Strings that are more alike than this share a word or two neighbouring letters.
+LEAST_FLOOR = 0.7
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,11 @@ class Phase:
     cut: float | None = None
 
 
+# Every statement row with every group of its session's look-alike ledger rows. Only for
+# profiles whose threshold the blocks do not reach, and only for rows left by the blocks.
+EVERYTHING = Phase((Block((), ALL, "pair"),), None)
+
+
 @dataclass
 class Plan:
     """Phases of a profile and the dictionaries of related texts they need."""
@@ -263,8 +270,8 @@ def fuzzy_pairs(statement: DataFrame, ledger: DataFrame, floor: float) -> DataFr
     Strings that similar share a word or two neighbouring letters, very short
     ones a letter; containment is found separately.
     """
-    if floor <= 0.7:
-        raise ValueError("the graded threshold is too low for vendor blocking")
+    if floor <= LEAST_FLOOR:
+        raise ValueError("similar vendors are looked up only above a ratio of 0.7")
     short = int(2 / (3 * floor - 2))
 
     def grams(df: DataFrame, name: str) -> DataFrame:
@@ -341,7 +348,8 @@ def _deployed_plan(profile: Deployed) -> Plan:
         ]
         out.append(Phase(tuple(blocks), max(missed) if missed else None))
     if out[-1].cut is not None:
-        raise ValueError("the profile accepts pairs that no block finds")
+        # So low a threshold accepts rows with next to nothing in common.
+        out.append(EVERYTHING)
     tolerance = profile.exact_amount
     shares = {
         "exact": (0.0, tolerance),
@@ -369,7 +377,8 @@ def _graded_plan(profile: Graded) -> Plan:
         Block(("vendor",), TEXT, "text"),
     )
     best_outside = max(wa + profile.far_date * wd + wv + we, wd + wv + we)
-    phases = [Phase((tight,), round(best_outside, 3)), Phase(loose, None)]
+    reachable = profile.vendor_floor() > LEAST_FLOOR
+    phases = [Phase((tight,), round(best_outside, 3)), Phase(loose, None) if reachable else EVERYTHING]
     return Plan(profile, phases, {"wide": (1 - ratio, profile.amount_tolerance * steps)})
 
 
@@ -381,7 +390,8 @@ def dictionaries(plan: Plan, statement: DataFrame, ledger: DataFrame) -> Plan:
 
     s, led = texts(statement, "s_vendor", "s"), texts(ledger, "l_vendor", "l")
     if isinstance(plan.profile, Graded):
-        plan.vendors = fuzzy_pairs(s, led, plan.profile.vendor_floor())
+        if plan.profile.vendor_floor() > LEAST_FLOOR:
+            plan.vendors = fuzzy_pairs(s, led, plan.profile.vendor_floor())
         return plan
     plan.vendors = contained_pairs(s, led)
     filled = [

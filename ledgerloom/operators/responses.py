@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +31,15 @@ def response_elements(df: DataFrame, column: str = "response") -> DataFrame:
     return exploded.drop("_array", "key").withColumnRenamed("pos", "position")
 
 
-def parse_responses(df: DataFrame, rules: str = "deployed", column: str = "response") -> DataFrame:
+def parse_responses(
+    df: DataFrame, rules: str = "deployed", column: str = "response", date_formats: Sequence[str] = ()
+) -> DataFrame:
     """Typed transactions of all responses.
 
     ``rules="deployed"`` keeps objects that have the keys amount and vendor and
     a numeric amount. ``rules="strict"`` needs date, amount, vendor and
     description to be present and not null, and also cleans the values.
+    A date that is not ISO is read by the first of ``date_formats`` that fits.
     """
     if rules not in ("deployed", "strict"):
         raise ValueError(f"unknown rules: {rules}")
@@ -51,25 +54,44 @@ def parse_responses(df: DataFrame, rules: str = "deployed", column: str = "respo
         _kind(value, "type").alias("_type_kind"),
     )
     numeric = fields.where(F.col("amount").isNotNull())
-    return _strict(numeric, carried) if rules == "strict" else _deployed(numeric, carried)
+    finish = _strict if rules == "strict" else _deployed
+    return finish(numeric, carried, date_formats)
 
 
 def extraction_envelope(
     responses: DataFrame, rules: str = "deployed", column: str = "response", keys=("session_id", "filename")
 ) -> DataFrame:
-    """Status, number of extracted transactions and the start of the raw text, per response."""
-    keys = list(keys)
-    found = parse_responses(responses, rules, column).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    return responses.join(found, keys, "left").select(
+    """Status, number of extracted transactions and the start of the raw text, per response.
+
+    Elements are counted inside the row, so nothing moves and equal keys stay apart.
+    """
+    if rules not in ("deployed", "strict"):
+        raise ValueError(f"unknown rules: {rules}")
+    parsed = F.try_parse_json(text.bracketed_array(F.col(column)))
+    elements = F.try_variant_get(parsed, "$", "array<variant>")
+    valid = F.filter(elements, lambda v: F.coalesce(_extracted(v, rules), F.lit(False)))
+    return responses.select(
         *keys,
         F.lit("success").alias("status"),
-        F.coalesce("_n", F.lit(0)).alias("total_transactions"),
+        F.coalesce(F.size(valid), F.lit(0)).cast("long").alias("total_transactions"),
         F.substring(text.strip(F.col(column)), 1, RAW_RESPONSE_CHARS).alias("raw_response"),
     )
 
 
+def _extracted(value: Column, rules: str) -> Column:
+    """Whether an element becomes a transaction; the rules of ``parse_responses``."""
+    keys = F.json_object_keys(F.to_json(value))
+    kept = _number(value, "amount").isNotNull()
+    if rules == "deployed":
+        for key in LOOSE_KEYS:
+            kept = kept & F.array_contains(keys, key)
+        return kept
+    for name in STRICT_FIELDS:
+        if name != "amount":
+            kept = kept & _string(value, name).isNotNull()
+    return kept & (~F.array_contains(keys, "type") | (_kind(value, "type") == "STRING"))
+
+
 def extract_responses(
     images: DataFrame, extractor: Callable[[Iterator], Iterator], schema: str
 ) -> DataFrame:
@@ -77,14 +99,18 @@ def extract_responses(
     return images.mapInPandas(extractor, schema)
 
 
-def _deployed(fields: DataFrame, carried: list[str]) -> DataFrame:
+def _day(raw: Column, formats: Sequence[str]) -> Column:
+    return F.coalesce(iso_day(raw), *(F.try_to_date(text.strip(raw), f) for f in formats))
+
+
+def _deployed(fields: DataFrame, carried: list[str], formats: Sequence[str]) -> DataFrame:
     has = F.lit(True)
     for key in LOOSE_KEYS:
         has = has & F.array_contains("_keys", key)
     return fields.where(F.coalesce(has, F.lit(False))).select(
         *carried,
         "position",
-        iso_day(F.col("_date")).alias("date"),
+        _day(F.col("_date"), formats).alias("date"),
         "amount",
         F.col("_vendor").alias("vendor"),
         F.col("_description").alias("description"),
@@ -94,7 +120,7 @@ def _deployed(fields: DataFrame, carried: list[str]) -> DataFrame:
     )
 
 
-def _strict(fields: DataFrame, carried: list[str]) -> DataFrame:
+def _strict(fields: DataFrame, carried: list[str], formats: Sequence[str]) -> DataFrame:
     complete = F.lit(True)
     for name in STRICT_FIELDS:
         complete = complete & F.col(name if name == "amount" else f"_{name}").isNotNull()
@@ -103,7 +129,7 @@ def _strict(fields: DataFrame, carried: list[str]) -> DataFrame:
     return kept.select(
         *carried,
         "position",
-        iso_day(F.col("_date")).alias("date"),
+        _day(F.col("_date"), formats).alias("date"),
         "amount",
         text.standard_vendor(F.col("_vendor")).alias("vendor"),
         text.strip(F.col("_description")).alias("description"),

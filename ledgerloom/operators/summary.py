@@ -92,18 +92,18 @@ def vendor_rows(df: DataFrame, pattern: str) -> DataFrame:
 
 
 def category_detail(df: DataFrame, pattern: str) -> DataFrame:
-    return category_rows(df, pattern).select("date", "vendor", "amount", "description")
+    return category_rows(df, pattern).where("amount IS NOT NULL").select("date", "vendor", "amount", "description")
 
 
 def vendor_detail(df: DataFrame, pattern: str) -> DataFrame:
-    return vendor_rows(df, pattern).select("date", "amount", "category", "description")
+    return vendor_rows(df, pattern).where("amount IS NOT NULL").select("date", "amount", "category", "description")
 
 
 def category_total(df: DataFrame, pattern: str, keys: Sequence[str] = ()) -> DataFrame:
     """Total and count of the rows whose category matches; zero when none does."""
     out = category_rows(df, pattern).groupBy(*keys).agg(
         values.total(F.col("amount")).alias("_total"),
-        F.count(F.lit(1)).alias("transaction_count"),
+        F.count("amount").alias("transaction_count"),
     )
     return out.select(
         *keys,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ TOP_K = 5
 MIN_SIMILARITY = 0.1
 CONTEXT_TEXTS = 3
 
-MAX_BATCH_QUERIES = 1000
+QUERY_BLOCK = 1000
 
 
 def embed_text(
@@ -27,18 +27,20 @@ def embed_text(
     """Add an embedding of a text column.
 
     ``encoder`` is the caller's vectorised UDF. Without one, words are hashed
-    into ``dims`` counts and the vector is scaled to unit length.
+    into ``dims`` counts (by the first sixteen bits of their MD5) and the vector is
+    scaled to unit length.
     """
     if encoder is not None:
         return df.withColumn(out, encoder(F.col(column)))
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
     words = F.coalesce(text.words(F.lower(F.col(column))), F.array().cast("array<string>"))
-    tokens = df.withColumn("_words", words)
-    counts = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(tokens)
-    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
-    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+    place = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims
+    placed = df.withColumn("_at", F.transform(words, place))
+    slots = F.sequence(F.lit(0), F.lit(dims - 1))
+    count = lambda i: F.size(F.filter("_at", lambda b: b == i)).cast("double")
+    counted = placed.withColumn("_counts", F.transform(slots, count))
+    sized = counted.withColumn("_size", F.sqrt(dot(F.col("_counts"), F.col("_counts"))))
+    unit = F.transform("_counts", lambda x: F.when(F.col("_size") > 0, x / F.col("_size")).otherwise(0.0))
+    return sized.withColumn(out, unit.cast("array<float>")).drop("_at", "_counts", "_size")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,9 +49,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 when either vector has no length."""
+    """Cosine similarity to nine decimals, so that equal ones tie; 0 when either vector has no length."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
+    return F.when(norms > 0, F.round(dot(a, b) / norms, 9)).otherwise(F.lit(0.0))
 
 
 def similar_transactions(
@@ -72,32 +74,33 @@ def similar_transactions(
 
 def similar_batch(
     index: DataFrame,
-    queries: Mapping[str, Sequence[float]],
+    queries: DataFrame,
     k: int = TOP_K,
     min_similarity: float = MIN_SIMILARITY,
     id_column: str = "doc_id",
+    block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Nearest rows for a set of query vectors held as plan literals.
+    """Nearest rows for every query of a table (query_id, vector).
 
-    The number of queries is checked, since each one is scored against every
-    row. The per-query rank prunes inside each task before anything moves.
+    Queries are counted first. They go to the tasks in blocks of about ``block``
+    vectors, so what is broadcast is bounded however many there are; each block meets
+    every row. The per-query rank prunes inside each task before anything moves.
     """
-    if len(queries) > MAX_BATCH_QUERIES:
-        raise ValueError(f"at most {MAX_BATCH_QUERIES} queries per batch")
-    given = F.array(
-        *(
-            F.struct(F.lit(name).alias("query_id"), F.array(*map(F.lit, vec)).alias("vector"))
-            for name, vec in queries.items()
+    blocks = max(1, -(-queries.count() // block))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = None
+    for b in range(blocks):
+        asked = F.broadcast(queries.where(number == b).select("query_id", "vector"))
+        scored = index.join(asked).select(
+            "query_id",
+            *(c for c in index.columns if c != "embedding"),
+            cosine(F.col("embedding"), F.col("vector")).alias("similarity"),
         )
-    )
-    scored = index.withColumn("_q", F.explode(given)).select(
-        F.col("_q.query_id").alias("query_id"),
-        *(c for c in index.columns if c != "embedding"),
-        cosine(F.col("embedding"), F.col("_q.vector")).alias("similarity"),
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc(id_column))
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.where(F.col("similarity") > min_similarity)
+        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc(id_column))
+        near = scored.where(F.col("similarity") > min_similarity)
+        found = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def retrieval_context(

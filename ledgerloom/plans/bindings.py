@@ -106,13 +106,12 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors with the ledger row of the same number as their text and metadata."""
+    """Every ledger row's text with its own embedding."""
     from ledgerloom.operators.documents import index_text
+    from ledgerloom.operators.vectors import embed_text
 
     rows = ledger(spark, folder)
-    texts = rows.select(F.col("txn_id").alias("doc_id"), "amount", index_text(rows).alias("text"))
-    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return vectors.join(texts, "doc_id")
+    return embed_text(rows.select(F.col("txn_id").alias("doc_id"), "amount", index_text(rows).alias("text")))
 
 
 def _plain(col: Column) -> Column:

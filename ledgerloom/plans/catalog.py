@@ -12,7 +12,7 @@ from ledgerloom.functions.similarity import word_jaccard, word_overlap
 from ledgerloom.matching import scoring
 from ledgerloom.operators import anomalies, clean, documents, monthly, summary, vectors
 from ledgerloom.operators import responses as extraction
-from ledgerloom.plans import bindings, reconcile
+from ledgerloom.plans import analysis, bindings, reconcile
 from ledgerloom.sources import sessions, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,9 +222,9 @@ def index_stats(spark, sf):
 
 
 def _first_vector(spark, sf):
+    """The index, and the vector of its first text as the question."""
     index = bindings.vector_index(spark, sf)
-    first = bindings.table(spark, sf, "embeddings")
-    return index, first.agg(F.min_by("embedding", "vec_id")).scalar()
+    return index, index.agg(F.min_by("embedding", "doc_id")).scalar()
 
 
 def similar(spark, sf):
@@ -239,23 +239,22 @@ def retrieval_context(spark, sf):
 
 
 def similar_to_labels(spark, sf):
-    """Nearest rows of every label's mean vector; the means are as many as there are labels."""
-    index = bindings.vector_index(spark, sf)
+    """Nearest ledger rows of every label's mean vector."""
     means = (
         bindings.table(spark, sf, "embeddings")
         .select("label", F.posexplode("embedding"))
         .groupBy("label", "pos")
         .agg(F.round(F.avg("col"), 6).alias("m"))
-        .groupBy("label")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))
+        .groupBy(F.col("label").cast("string").alias("query_id"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
     )
-    queries = {str(r.label): r.v for r in means.limit(vectors.MAX_BATCH_QUERIES + 1).toLocalIterator()}
-    found = vectors.similar_batch(index, queries)
+    found = vectors.similar_batch(bindings.vector_index(spark, sf), means)
     return found.select("query_id", "rank", "doc_id", F.round("similarity", 6).alias("similarity"))
 
 
 def hashed_embeddings(spark, sf):
-    return vectors.embed_text(index_texts(spark, sf)).select("txn_id", "embedding")
+    made = vectors.embed_text(index_texts(spark, sf))
+    return made.select("txn_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 def session_catalog(spark, sf):
@@ -270,7 +269,20 @@ def records(spark, sf):
     return sinks.records(bindings.ledger(spark, sf))
 
 
+def _raw(op, *args) -> Query:
+    return lambda spark, sf: op(bindings.dirty_ledger(spark, sf), *args)
+
+
+def analyze_ledger(spark, sf):
+    return analysis.analyze_ledger(bindings.dirty_ledger(spark, sf), FORMATS).sections()
+
+
 QUERIES: dict[str, Query] = {
+    "analyze_ledger": analyze_ledger,
+    "analyze_categories": _raw(analysis.spending_by_category),
+    "analyze_category": _raw(analysis.spending_by_category, "eco"),
+    "analyze_vendors": _raw(analysis.vendor_analysis),
+    "analyze_vendor": lambda s, d: _r(analysis.vendor_analysis(bindings.dirty_ledger(s, d), "GIZMO"), 4, "average_amount"),
     "clean_ledger": clean_ledger,
     "reject_count": reject_count,
     "standardised": standardised,

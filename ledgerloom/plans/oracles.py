@@ -160,11 +160,18 @@ fields AS (
 
 INDEX_TEXT = f"'Date: ' || date || ' Amount: $' || {_amount_text('amount')} || ' Description: ' || description || ' Category: ' || category"
 
-SIMILAR = f"""q AS (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS qv FROM embeddings),
+VECTORS = f"""texts AS (SELECT txn_id AS doc_id, amount, {INDEX_TEXT} AS text FROM ledger),
+counts AS (
+  SELECT doc_id, amount, text, list_transform(range(0, 64), lambda i: CAST(len(list_filter(places, lambda x: x = i)) AS DOUBLE)) AS c
+  FROM (SELECT *, list_transform(string_split(lower(text), ' '), lambda w: CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 64) AS places FROM texts)),
+vectors AS (
+  SELECT doc_id, amount, text, list_transform(c, lambda x: CAST(CAST(x / size AS FLOAT) AS DOUBLE)) AS v
+  FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS size FROM counts))"""
+
+SIMILAR = f"""{VECTORS}, q AS (SELECT arg_min(v, doc_id) AS qv FROM vectors),
 near AS (
-  SELECT vec_id AS doc_id, {INDEX_TEXT} AS text, amount,
-         list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS similarity
-  FROM embeddings JOIN ledger ON vec_id = txn_id, q
+  SELECT doc_id, text, amount, round(list_cosine_similarity(v, qv), 9) AS similarity
+  FROM vectors, q
   ORDER BY similarity DESC, doc_id DESC LIMIT 5),
 hits AS (SELECT * FROM near WHERE similarity > 1e-1)"""
 
@@ -251,6 +258,14 @@ SELECT 'month-' || head.month AS doc_id, 'monthly_summary' AS document_type,
 FROM head JOIN c USING (month) JOIN v USING (month) JOIN f USING (month) JOIN d USING (month) LEFT JOIN g USING (month)"""
 
 ORACLES: dict[str, str] = {
+    "analyze_ledger": _dirty(f""", usable AS (SELECT * FROM typed WHERE date IS NOT NULL AND amount IS NOT NULL)
+        SELECT 'ledger' AS section, 'all' AS name, count(*) AS transaction_count, {TOTAL2} AS total_amount FROM usable
+        UNION ALL SELECT * FROM (SELECT 'vendor', vendor, count(*) AS n, {TOTAL2} FROM usable WHERE vendor IS NOT NULL GROUP BY vendor ORDER BY n DESC, vendor LIMIT 5)
+        UNION ALL SELECT 'category', category, count(amount), {TOTAL2} FROM usable WHERE category IS NOT NULL GROUP BY category"""),
+    "analyze_categories": _dirty(f"SELECT category, {TOTAL2} AS total_amount, count(amount) AS transaction_count FROM typed WHERE amount IS NOT NULL AND category IS NOT NULL GROUP BY 1"),
+    "analyze_category": _dirty(f"SELECT 'eco' AS category, coalesce({TOTAL}, 0) AS total_amount, count(amount) AS transaction_count FROM typed WHERE amount IS NOT NULL AND regexp_matches(category, 'eco', 'i')"),
+    "analyze_vendors": _dirty(f"SELECT vendor, {TOTAL2} AS total_amount, count(amount) AS transaction_count, {_rd(MEAN, 2)} AS average_amount FROM typed WHERE amount IS NOT NULL AND vendor IS NOT NULL GROUP BY 1"),
+    "analyze_vendor": _dirty(f"SELECT 'GIZMO' AS vendor, {TOTAL} AS total_amount, count(*) AS transaction_count, {_rd(MEAN, 4)} AS average_amount FROM typed WHERE amount IS NOT NULL AND regexp_matches(vendor, 'GIZMO', 'i')"),
     "clean_ledger": _dirty("SELECT txn_id, date, vendor, amount, category FROM typed WHERE date IS NOT NULL AND vendor IS NOT NULL AND amount IS NOT NULL"),
     "reject_count": _dirty("""SELECT count(*) AS rows_read, count(*) FILTER (ok) AS rows_kept, count(*) FILTER (NOT ok) AS rows_removed,
         count(date) AS valid_dates FROM (SELECT *, date IS NOT NULL AND vendor IS NOT NULL AND amount IS NOT NULL AS ok FROM typed)"""),
@@ -356,11 +371,13 @@ ORACLES: dict[str, str] = {
     "index_stats": _ledger(f"SELECT 'Index ready' AS status, count(*) + count(DISTINCT {MONTH}) AS document_count, count(*) AS data_rows, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS end FROM ledger"),
     "similar_transactions": _ledger(f", {SIMILAR} SELECT doc_id, text, amount, round(similarity, 6) AS similarity FROM hits"),
     "retrieval_context": _ledger(f", {SIMILAR} SELECT (SELECT string_agg(text, E'\\n' ORDER BY similarity DESC, doc_id DESC) FROM (SELECT * FROM hits ORDER BY similarity DESC, doc_id DESC LIMIT 3)) AS context, count(*) AS matching_transactions, coalesce(CAST(sum(CAST(amount AS DECIMAL(28,4))) AS DOUBLE), 0e0) AS total_amount FROM hits"),
-    "similar_to_labels": """WITH m AS (SELECT label, i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2),
+    "similar_to_labels": _ledger(f""", {VECTORS},
+        m AS (SELECT label, i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2),
         q AS (SELECT label, list(x ORDER BY i) AS qv FROM m GROUP BY 1),
-        s AS (SELECT q.label, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS similarity FROM embeddings JOIN orders ON o_orderkey = vec_id, q),
-        r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id DESC) AS k FROM s)
-        SELECT CAST(label AS VARCHAR) AS query_id, CAST(k AS INTEGER) AS rank, vec_id AS doc_id, round(similarity, 6) AS similarity FROM r WHERE k <= 5 AND similarity > 1e-1""",
+        s AS (SELECT q.label, doc_id, round(list_cosine_similarity(v, qv), 9) AS similarity FROM vectors, q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, doc_id DESC) AS k FROM s)
+        SELECT CAST(label AS VARCHAR) AS query_id, CAST(k AS INTEGER) AS rank, doc_id, round(similarity, 6) AS similarity FROM r WHERE k <= 5 AND similarity > 1e-1"""),
+    "hashed_embeddings": _ledger(f", {VECTORS} SELECT doc_id AS txn_id, list_transform(v, lambda x: round(x, 6)) AS embedding FROM vectors"),
     "session_catalog": _ledger("SELECT session_id, count(*) AS transaction_count, max(date) AS created_at FROM ledger GROUP BY 1"),
     "session_count": _ledger("SELECT count(DISTINCT session_id) AS session_count FROM ledger"),
     "records": _ledger("SELECT CAST(to_json({'session_id': session_id, 'txn_id': txn_id, 'date': CAST(date AS VARCHAR), 'vendor': vendor, 'amount': amount, 'category': category, 'description': description}) AS VARCHAR) AS record FROM ledger"),

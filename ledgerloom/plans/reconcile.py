@@ -122,7 +122,8 @@ def large_sessions(led: DataFrame, stm: DataFrame, small_pairs: int) -> DataFram
 
 def _with_dictionaries(rules, led: DataFrame, stm: DataFrame) -> cand.Plan:
     plan = cand.dictionaries(cand.plan_for(rules), stm, led)
-    plan.vendors = checkpoint(plan.vendors)
+    if plan.vendors is not None:
+        plan.vendors = checkpoint(plan.vendors)
     if plan.descriptions is not None:
         plan.descriptions = checkpoint(plan.descriptions)
     return plan

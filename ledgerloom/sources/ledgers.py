@@ -56,7 +56,10 @@ def csv_from_text(spark: SparkSession, content: str) -> DataFrame:
         raise clean.LedgerError("CSV file is empty")
     header, *body = records
     schema = ", ".join(f"`{name}` string" for name in header)
-    rows = [tuple(r[: len(header)] + [None] * (len(header) - len(r))) for r in body if r]
+    for number, r in enumerate(body, 2):
+        if len(r) > len(header):
+            raise clean.LedgerError(f"Record {number} has {len(r)} fields, the header {len(header)}")
+    rows = [tuple(r + [None] * (len(header) - len(r))) for r in body if r]
     return spark.createDataFrame(rows, schema)
 
 

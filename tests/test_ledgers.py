@@ -8,6 +8,7 @@ from ledgerloom.functions import text, values
 from ledgerloom.operators import clean, documents, monthly, summary
 from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.operators.ranking import spread_row_number
+from ledgerloom.plans import analysis
 from ledgerloom.sources import ledgers, sessions, sinks
 
 RAW = [
@@ -163,3 +164,34 @@ def test_amount_coercion(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: r.v for r in df.select("t", values.to_amount(F.col("t")).alias("v")).collect()}
     assert got == cases
+
+
+def test_surplus_fields_and_overflow_are_not_silent(spark):
+    with pytest.raises(clean.LedgerError, match="Record 3"):
+        ledgers.csv_from_text(spark, "date,vendor\n2024-01-01,a\n2024-01-02,b,c\n")
+    fits = spark.createDataFrame([(1.0,), (float("inf"),), (float("nan"),), (None,)], "amount double")
+    assert fits.agg(values.total(F.col("amount")).alias("t")).first().t == 1
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        spark.createDataFrame([(1e30,)], "amount double").agg(values.total(F.col("amount"))).collect()
+
+
+def test_ledger_analysis_gives_every_row_a_vendor(spark):
+    raw = spark.createDataFrame(
+        [("2024-01-01", "5", "Fuel"), ("2024-01-02", "x", "Fuel"), (None, "7", "Fuel")], "date string, amount string, description string"
+    )
+    found = analysis.analyze_ledger(raw)
+    assert [(r.section, r.name, r.transaction_count, r.total_amount) for r in found.sections().collect()] == [
+        ("ledger", "all", 1, 5.0), ("vendor", "Fuel", 1, 5.0)
+    ]
+    assert analysis.analyze_ledger(raw.drop("description")).transactions.first().vendor == "Unknown"
+    with pytest.raises(clean.LedgerError):
+        analysis.spending_by_category(raw)
+
+
+def test_matching_analyses_leave_out_rows_without_amount(spark):
+    raw = spark.createDataFrame(
+        [("a", "Eco", "1.5"), ("a", "Eco", None), (None, "eco", "2"), ("b", None, "3")], "vendor string, category string, amount string"
+    )
+    assert tuple(analysis.spending_by_category(raw, "eco").first()) == ("eco", 3.5, 2)
+    assert {tuple(r) for r in analysis.vendor_analysis(raw).collect()} == {("a", 1.5, 1, 1.5), ("b", 3.0, 1, 3.0)}
+    assert tuple(analysis.vendor_analysis(raw, "a").first()) == ("a", 1.5, 1, 1.5)

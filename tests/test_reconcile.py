@@ -183,8 +183,26 @@ def test_amount_levels(spark):
     assert [round(r[0], 6) for r in days.select(Graded().date_score()).collect()] == [1.0, 0.9, 0.8, 0.7, 0.5, 0.5, 0.0]
 
 
-def test_uncovered_profile_is_refused():
-    with pytest.raises(ValueError):
-        candidates.plan_for(Deployed(threshold=0.2))
+@pytest.mark.parametrize("rules", [Deployed(threshold=0.2), Graded(threshold=0.2)])
+def test_low_thresholds_match_alike_at_every_size(spark, rules):
+    _, _, ldf, sdf = _case(spark, 15, 1, 20, 14)
+    small = rec.reconcile(ldf, sdf, rules, small_session_pairs=10**6)
+    large = rec.reconcile(ldf, sdf, rules, small_session_pairs=0, rows_shown=4)
+    assert _matched(small) == _matched(large) != {}
+
+
+def test_large_groups_of_equal_rows_take_few_rounds(spark, monkeypatch):
+    from ledgerloom.matching import assign
+
+    rounds = []
+    kept = assign._round
+    monkeypatch.setattr(assign, "_round", lambda *a: rounds.append(1) or kept(*a))
+    edges = spark.range(200).crossJoin(spark.range(200).withColumnRenamed("id", "led"))
+    df = edges.selectExpr("'s' AS session_id", "id AS stmt", "led", "0.5D AS score")
+    held = assign.settle(df, empty_held(df), 4)
+    assert held.where("stmt = led").count() == 200 and len(rounds) <= 8
+
+
+def test_unknown_profile_is_refused():
     with pytest.raises(ValueError):
         rec.scoring.profile("other")

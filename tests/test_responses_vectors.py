@@ -53,10 +53,12 @@ def test_cosine_top_k(spark):
     assert [r.doc_id for r in found] == [2, 1, 5]
     context = vectors.retrieval_context(vectors.similar_transactions(index, query), n=2).first()
     assert (context.context, context.matching_transactions, context.total_amount) == ("t2\nt1", 3, 7.5)
-    batch = vectors.similar_batch(index, {"q": [1.0, 0.0], "z": [0.0, 0.0]}).collect()
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("z", [0.0, 0.0])], "query_id string, vector array<double>")
+    batch = vectors.similar_batch(index, asked).collect()
     assert [(r.query_id, r.doc_id) for r in sorted(batch, key=lambda r: r["rank"])] == [("q", 2), ("q", 1), ("q", 5)]
-    with pytest.raises(ValueError):
-        vectors.similar_batch(index, {str(i): [0.0] for i in range(vectors.MAX_BATCH_QUERIES + 1)})
+    many = spark.createDataFrame([(str(k), [1.0, 0.0]) for k in range(7)], "query_id string, vector array<double>")
+    blocks = vectors.similar_batch(index, many, k=1, block=2).collect()
+    assert sorted((r.query_id, r.doc_id) for r in blocks) == [(str(k), 2) for k in range(7)]
 
 
 def test_hashed_embedding_is_deterministic(spark):
