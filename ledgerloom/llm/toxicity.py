@@ -39,6 +39,8 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser")
 SHORTEST, LONGEST = 4, 12
 LEAST_TEXTS = 3
 LEAST_WEIGHT = 0.5
+# Of the heaviest pattern's weight; what weighs less is as likely a chance find.
+LEAST_SHARE = 0.4
 MOST_PATTERNS = 20_000
 TRAIN_ROWS = 200_000
 WORD = re.compile(r"[^\W_]+")
@@ -180,6 +182,8 @@ def lexicon(counts: DataFrame, toxic: int, other: int) -> dict[str, float]:
         .select("term", "weight", "toxic")
     )
     rows = {r["term"]: (r["weight"], r["toxic"]) for r in found.collect()}
+    least = LEAST_SHARE * max((w for w, _ in rows.values()), default=0.0)
+    rows = {t: r for t, r in rows.items() if r[0] >= least}
     kept: dict[str, float] = {}
     for term in sorted(rows, key=lambda t: (len(t), t)):
         weight, texts = rows[term]
