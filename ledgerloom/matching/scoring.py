@@ -277,7 +277,7 @@ class Graded:
         # Limits and wording of the reasons.
         return _listed(
             F.when(_c("a") > 0.8, _say("Amount match: $", _money("l_amount"), " ≈ $", _money("s_amount"))),
-            F.when(_c("d") > 0.8, _say("Date match: ", _day("l_date"), " ≈ ", _day("s_date"))),
+            F.when(_c("d") > 0.8, _say("Date match: ", _moment("l_date"), " ≈ ", _moment("s_date"))),
             F.when(_c("v") > 0.7, _say("Vendor match: '", _c("l_vendor"), "' ≈ '", _c("s_vendor"), "'")),
             F.when(
                 _c("e") > 0.7,
@@ -289,7 +289,7 @@ class Graded:
         # Limits and wording of the discrepancies.
         return _listed(
             F.when(_c("a") < 0.5, _say("Amount difference: $", _money("l_amount"), " vs $", _money("s_amount"))),
-            F.when(_c("d") < 0.5, _say("Date difference: ", _day("l_date"), " vs ", _day("s_date"))),
+            F.when(_c("d") < 0.5, _say("Date difference: ", _moment("l_date"), " vs ", _moment("s_date"))),
             F.when(_c("v") < 0.3, _say("Vendor difference: '", _c("l_vendor"), "' vs '", _c("s_vendor"), "'")),
         )
 
@@ -335,3 +335,8 @@ def _money(name: str) -> Column:
 
 def _day(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd")
+
+
+def _moment(name: str) -> Column:
+    """A day with its time, as the graded profile words it."""
+    return F.coalesce(F.date_format(name, "yyyy-MM-dd HH:mm:ss"), F.lit("None"))

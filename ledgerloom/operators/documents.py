@@ -11,6 +11,7 @@ from ledgerloom.functions import values
 from ledgerloom.operators import monthly
 from ledgerloom.operators.ranking import spread_row_number
 
+# A month's document has pages of so many large transactions at every size of ledger.
 LARGE_ROWS_PER_PAGE = 1000
 _SLOTS = 256
 
@@ -95,7 +96,7 @@ def monthly_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def monthly_documents(
     df: DataFrame, keys: Sequence[str] = (), rows_per_page: int = LARGE_ROWS_PER_PAGE
 ) -> DataFrame:
-    """One document per month; a very long list of large transactions continues on more pages."""
+    """One document per month, in pages: each lists at most ``rows_per_page`` large transactions."""
     group = [*keys, "month"]
     month = monthly_summary(df, keys)
     pages = large_pages(df, keys, rows_per_page)
@@ -176,14 +177,25 @@ def ledger_documents(
     return months.unionByName(txns, allowMissingColumns=True)
 
 
-def index_stats(documents: DataFrame, df: DataFrame) -> DataFrame:
-    """Document count, ledger rows and date range in one row."""
-    counted = documents.agg(F.count(F.lit(1)))
+def index_stats(df: DataFrame, include_transactions: bool = False, rows_per_page: int = LARGE_ROWS_PER_PAGE) -> DataFrame:
+    """Document count, ledger rows and date range in one row; nothing is rendered.
+
+    Counts the documents ``ledger_documents`` has: the pages of every month, at least
+    one, and the transactions where they are included.
+    """
+    months = monthly.with_month(df).where("month IS NOT NULL").groupBy("month").agg(F.count(F.lit(1)).alias("_rows"))
+    large = monthly.month_large_txns(df).groupBy("month").agg(F.count(F.lit(1)).alias("_large"))
+    pages = months.join(large, "month", "left").agg(
+        F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce("_large", F.lit(0)) / rows_per_page))), F.lit(0)).alias("_pages")
+    )
+    count = pages.scalar()
+    if include_transactions:
+        count = count + F.col("data_rows")
     return df.agg(
         F.count(F.lit(1)).alias("data_rows"),
         values.day_text(F.min("date")).alias("start"),
         values.day_text(F.max("date")).alias("end"),
-    ).select(F.lit("Index ready").alias("status"), counted.scalar().alias("document_count"), "data_rows", "start", "end")
+    ).select(F.lit("Index ready").alias("status"), count.cast("long").alias("document_count"), "data_rows", "start", "end")
 
 
 def _default(df: DataFrame, name: str, default: str) -> Column:

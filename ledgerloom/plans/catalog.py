@@ -218,7 +218,7 @@ def monthly_documents(spark, sf):
 
 def index_stats(spark, sf):
     rows = bindings.ledger(spark, sf)
-    return documents.index_stats(documents.ledger_documents(rows, include_transactions=True), rows)
+    return documents.index_stats(rows, include_transactions=True)
 
 
 def _first_vector(spark, sf):

@@ -235,7 +235,11 @@ DISPLAY = f"""SELECT m.session_id, m.stmt AS statement_txn_id, tier, format('{{:
 FROM matches m JOIN ledger l ON l.session_id = m.session_id AND l.txn_id = m.led
 JOIN statement s ON s.session_id = m.session_id AND s.txn_id = m.stmt"""
 
-MONTHLY_DOC = f"""WITH {LEDGER}, {LARGE}, base AS (SELECT *, {MONTH} AS month FROM ledger),
+ROWS_PER_PAGE = 1000
+
+
+def monthly_doc(rows_per_page: int = ROWS_PER_PAGE) -> str:
+    return f"""WITH {LEDGER}, {LARGE}, base AS (SELECT *, {MONTH} AS month FROM ledger),
 head AS (SELECT month, {TOTAL} AS t, count(*) AS n, {MEAN} AS mean, count(DISTINCT vendor) AS u, min(date) AS lo, max(date) AS hi FROM base GROUP BY 1),
 ct AS (SELECT month, category AS k, {TOTAL} AS t FROM base GROUP BY 1, 2),
 vt AS (SELECT month, vendor AS k, {TOTAL} AS t, count(*) AS n FROM base GROUP BY 1, 2),
@@ -245,15 +249,17 @@ c AS (SELECT month, string_agg('  "' || k || '": ' || {_amount_text('t')}, E',\\
 v AS (SELECT month, string_agg('  "' || k || '": ' || {_amount_text('t')}, E',\\n' ORDER BY r) AS x FROM vr WHERE r <= 10 GROUP BY 1),
 f AS (SELECT month, string_agg('  "' || k || '": ' || n, E',\\n' ORDER BY f) AS x FROM vr WHERE f <= 5 GROUP BY 1),
 d AS (SELECT month, string_agg(k || ': ' || {_amount_text('t')}, ', ' ORDER BY k) AS x FROM dt GROUP BY 1),
-g AS (SELECT month, string_agg(date || ' ' || vendor || ' ' || {_amount_text('amount')} || ' ' || category, E'\\n' ORDER BY txn_id) AS x FROM large GROUP BY 1)
-SELECT 'month-' || head.month AS doc_id, 'monthly_summary' AS document_type,
+g AS (SELECT month, page, string_agg(date || ' ' || vendor || ' ' || {_amount_text('amount')} || ' ' || category, E'\\n' ORDER BY txn_id) AS x
+  FROM (SELECT *, (row_number() OVER (PARTITION BY month ORDER BY txn_id) - 1) // {rows_per_page} AS page FROM large) GROUP BY 1, 2)
+SELECT 'month-' || head.month || CASE WHEN page > 0 THEN '-' || page ELSE '' END AS doc_id, 'monthly_summary' AS document_type,
+  CASE WHEN page > 0 THEN E'\\nFINANCIAL SUMMARY FOR ' || head.month || E'\\n\\nLARGE TRANSACTIONS (95th percentile), continued:\\n' || g.x || E'\\n' ELSE
   E'\\nFINANCIAL SUMMARY FOR ' || head.month || E'\\n\\nOVERVIEW:\\n- Total Spending: $' || {_thousands('t')}
   || E'\\n- Transaction Count: ' || n || E'\\n- Average Transaction: $' || {_money('mean')}
   || E'\\n- Unique Vendors: ' || u || E'\\n- Date Range: ' || lo || ' to ' || hi
   || E'\\n\\nCATEGORY BREAKDOWN:\\n{{\\n' || c.x || E'\\n}}\\n\\nTOP VENDORS BY SPENDING:\\n{{\\n' || v.x
   || E'\\n}}\\n\\nFREQUENT VENDORS (by transaction count):\\n{{\\n' || f.x
   || E'\\n}}\\n\\nLARGE TRANSACTIONS (95th percentile):\\n' || coalesce(g.x, '')
-  || E'\\n\\nDAILY SPENDING PATTERN:\\n{{' || d.x || E'}}\\n' AS text,
+  || E'\\n\\nDAILY SPENDING PATTERN:\\n{{' || d.x || E'}}\\n' END AS text,
   head.month AS period, CAST(left(head.month, 4) AS INTEGER) AS year, CAST(right(head.month, 2) AS INTEGER) AS month, c.top AS top_category
 FROM head JOIN c USING (month) JOIN v USING (month) JOIN f USING (month) JOIN d USING (month) LEFT JOIN g USING (month)"""
 
@@ -367,8 +373,8 @@ ORACLES: dict[str, str] = {
         E'\\nTRANSACTION RECORD\\n\\nDate: ' || date || E' 00:00:00\\nVendor: ' || vendor || E'\\nAmount: $' || {_money('amount')}
         || E'\\nCategory: ' || category || E'\\nDescription: ' || description || E'\\n\\nContext:\\n- Day of week: ' || dayname(date)
         || E'\\n- Month: ' || monthname(date) || ' ' || year(date) || E'\\n' AS text, category, date || ' 00:00:00' AS date, amount FROM ledger"""),
-    "monthly_documents": MONTHLY_DOC,
-    "index_stats": _ledger(f"SELECT 'Index ready' AS status, count(*) + count(DISTINCT {MONTH}) AS document_count, count(*) AS data_rows, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS end FROM ledger"),
+    "monthly_documents": monthly_doc(),
+    "index_stats": _ledger(f", {LARGE}, n AS (SELECT p.month, greatest(1, ceil(count(large.txn_id) / {ROWS_PER_PAGE})) AS pages FROM p LEFT JOIN large USING (month) GROUP BY 1) SELECT 'Index ready' AS status, count(*) + CAST((SELECT sum(pages) FROM n) AS BIGINT) AS document_count, count(*) AS data_rows, CAST(min(date) AS VARCHAR) AS start, CAST(max(date) AS VARCHAR) AS end FROM ledger"),
     "similar_transactions": _ledger(f", {SIMILAR} SELECT doc_id, text, amount, round(similarity, 6) AS similarity FROM hits"),
     "retrieval_context": _ledger(f", {SIMILAR} SELECT (SELECT string_agg(text, E'\\n' ORDER BY similarity DESC, doc_id DESC) FROM (SELECT * FROM hits ORDER BY similarity DESC, doc_id DESC LIMIT 3)) AS context, count(*) AS matching_transactions, coalesce(CAST(sum(CAST(amount AS DECIMAL(28,4))) AS DOUBLE), 0e0) AS total_amount FROM hits"),
     "similar_to_labels": _ledger(f""", {VECTORS},

@@ -206,3 +206,11 @@ def test_large_groups_of_equal_rows_take_few_rounds(spark, monkeypatch):
 def test_unknown_profile_is_refused():
     with pytest.raises(ValueError):
         rec.scoring.profile("other")
+
+
+def test_graded_reasons_word_days_with_time(spark):
+    led = spark.createDataFrame([("s", 1, day("2024-01-15"), "Shell", 45.0, "Fuel"), ("s", 2, None, "Depot", 7.0, "Ink")], SCHEMA)
+    stm = spark.createDataFrame([("s", 1, day("2024-01-15"), "Shell", 45.0, "Gas"), ("s", 2, day("2024-01-18"), "Depot", 7.0, "Ink")], SCHEMA)
+    rows = {r.statement_txn_id: r for r in rec.reconcile(led, stm, "graded").matches.collect()}
+    assert "Date match: 2024-01-15 00:00:00 ≈ 2024-01-15 00:00:00" in rows[1].match_reasons
+    assert "Date difference: None vs 2024-01-18 00:00:00" in rows[2].discrepancies
