@@ -1,10 +1,11 @@
-"""Session tables on shared storage, one per kind of record, partitioned by session."""
+"""Session tables on shared storage, one per kind of record, bucketed by session."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 class SessionNotFound(LookupError):
@@ -15,6 +16,21 @@ class SessionNotFound(LookupError):
 KINDS = ("ledger", "active", "statement", "reconciliation")
 
 
+# Names the store adds to its tables.
+BUCKET, VERSION = "_bucket", "_version"
+BUCKETS = 256
+
+
+def _bucket(session_id: Column) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy(F.col("session_id").alias("_sid")).agg(F.max(VERSION).alias("_last"))
+    kept = rows.join(last, F.col("session_id").eqNullSafe(F.col("_sid")) & (F.col(VERSION) == F.col("_last")), "left_semi")
+    return kept.drop(BUCKET, VERSION)
+
+
 class SessionStore:
     """Reads and writes the per-session tables under one root path."""
 
@@ -30,31 +46,27 @@ class SessionStore:
     def upsert(self, kind: str, df: DataFrame) -> None:
         """Replace the sessions present in ``df``; other sessions stay as they are.
 
-        Rows are spread over each session's files by hash, so one large session
-        is written by many tasks.
+        Rows are appended under a newer version to ``BUCKETS`` folders by the hash of
+        their session, so the number of folders does not grow with the sessions. The
+        rebalancing gives small buckets one file and splits large ones.
         """
         if "session_id" not in df.columns:
             raise ValueError("session_id column needed")
         stamped = df if "created_at" in df.columns else df.withColumn("created_at", F.current_timestamp())
-        (
-            stamped.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("session_id")
-            .parquet(self.path(kind))
-        )
+        rows = stamped.withColumns(
+            {"session_id": F.col("session_id").cast("string"), VERSION: F.lit(time.time_ns())}
+        ).withColumn(BUCKET, _bucket(F.col("session_id")))
+        rows.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(self.path(kind))
 
     def read(self, kind: str) -> DataFrame:
-        """All sessions of one kind; ids stay text even when they look like numbers."""
-        path = self.path(kind)
-        fields = self.spark.read.parquet(path).schema.fields
-        schema = T.StructType(
-            [T.StructField(f.name, T.StringType() if f.name == "session_id" else f.dataType) for f in fields]
-        )
-        return self.spark.read.schema(schema).parquet(path)
+        """The newest version of every session of one kind."""
+        return _newest(self.spark.read.parquet(self.path(kind)))
 
     def lookup(self, kind: str, session_id: str) -> DataFrame:
-        """Rows of one session, read through partition pruning."""
-        found = self.read(kind).where(F.col("session_id") == F.lit(session_id))
+        """Rows of one session: one bucket is listed, and the filter reaches the scan."""
+        rows = self.spark.read.parquet(self.path(kind))
+        here = (F.col(BUCKET) == _bucket(F.lit(session_id))) & (F.col("session_id") == F.lit(session_id))
+        found = _newest(rows.where(here))
         if found.isEmpty():
             raise SessionNotFound(f"Session not found: {session_id} ({kind})")
         return found

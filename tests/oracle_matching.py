@@ -2,6 +2,7 @@
 
 from difflib import SequenceMatcher
 
+# Stop words here, and the thresholds and points below.
 STOP = {"INC", "LLC", "LTD", "CORP", "CO", "&", "AND", "THE"}
 
 

@@ -195,3 +195,14 @@ def test_matching_analyses_leave_out_rows_without_amount(spark):
     assert tuple(analysis.spending_by_category(raw, "eco").first()) == ("eco", 3.5, 2)
     assert {tuple(r) for r in analysis.vendor_analysis(raw).collect()} == {("a", 1.5, 1, 1.5), ("b", 3.0, 1, 3.0)}
     assert tuple(analysis.vendor_analysis(raw, "a").first()) == ("a", 1.5, 1, 1.5)
+
+
+def test_session_versions_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sessions, "BUCKETS", 1)
+    store = sessions.SessionStore(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame(r, "session_id string, n long")
+    store.upsert("ledger", rows(("1", 1), ("1", 2), ("02", 3), (None, 4)))
+    store.upsert("ledger", rows(("1", 9)))
+    assert {(r.session_id, r.n) for r in store.read("ledger").collect()} == {("02", 3), ("1", 9), (None, 4)}
+    assert [r.n for r in store.lookup("ledger", "1").collect()] == [9]
+    assert store.lookup("ledger", "02").columns == ["session_id", "n", "created_at"]
