@@ -161,7 +161,9 @@ def test_plans_place_every_piece_once(seed):
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in histogram.items()}
     used = check_packing(rows, 64)
     if seed:
-        assert used <= 1.01 * lengths.sum() / 64 + 1
+        # No two lengths above one half share a sequence.
+        least = max(lengths.sum() / 64, (lengths > 32).sum())
+        assert used <= 1.01 * least + 1
     assert len(packing.plan({}, 64)) == 0
 
 
