@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 from hashlib import sha256
@@ -41,7 +42,9 @@ def test_toxicity_learns(spark, make_docs):
 
 
 def test_quality_learns(spark, make_docs):
-    rows = [(f"A plain sentence number {k} with some words in it. And one more.", 1) for k in range(40)]
+    rng = random.Random(8)
+    words = "some plain words of many kinds and lengths, with a comma here. An ordinary sentence ends so. The next begins".split()
+    rows = [(" ".join(rng.choices(words, k=rng.randint(5, 60))), 1) for _ in range(60)]
     rows += [(f"BUY!! NOW!! {k}!! BUY!! NOW!!", 0) for k in range(6)] + [("same " * 40, 0)] * 4 + [(None, None)]
     model = quality.fit(spark.createDataFrame(rows, "text string, label int"))
     docs = make_docs([(1, "Here is an ordinary sentence with several words in it."), (2, "BUY!! IT!! NOW!!"), (None, None), (3, "")])
