@@ -13,7 +13,7 @@ from ledgerloom.matching import scoring
 from ledgerloom.operators import anomalies, clean, documents, monthly, summary, vectors
 from ledgerloom.operators import responses as extraction
 from ledgerloom.plans import analysis, bindings, reconcile
-from ledgerloom.sources import sessions, sinks
+from ledgerloom.sources import ledgers, sessions, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 FORMATS = ("MM/dd/yyyy",)
@@ -257,6 +257,38 @@ def hashed_embeddings(spark, sf):
     return made.select("txn_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
+def csv_rows(spark, sf):
+    """Ledger rows as CSV lines in a column, parsed again."""
+    amount = F.col("amount").cast("decimal(18,2)").cast("string")
+    line = F.concat_ws(",", F.col("date").cast("string"), "vendor", amount, "category").alias("line")
+    lines = bindings.ledger(spark, sf).select("txn_id", line)
+    return ledgers.csv_from_column(lines, "line", ["date", "vendor", "amount", "category"])
+
+
+def ledger_documents(spark, sf):
+    docs = documents.ledger_documents(bindings.ledger(spark, sf), include_transactions=True)
+    return docs.select("doc_id", "document_type", "text")
+
+
+def _read_scans(batches):
+    """Stands for a model: answers every image with the words its bytes spell."""
+    for scans in batches:
+        words = scans["content"].map(lambda b: bytes(b).decode().split("|"))
+        answers = words.map(lambda w: f'[{{"vendor": "{w[0]}", "amount": {w[1]}}}]')
+        yield scans[["session_id", "filename"]].assign(response=answers)
+
+
+def extract_responses(spark, sf):
+    amount = F.col("amount").cast("decimal(18,2)").cast("string")
+    scans = bindings.ledger(spark, sf).select(
+        "session_id",
+        F.col("txn_id").cast("string").alias("filename"),
+        F.encode(F.concat_ws("|", "vendor", amount), "UTF-8").alias("content"),
+    )
+    answers = extraction.extract_responses(scans, _read_scans, "session_id long, filename string, response string")
+    return extraction.parse_responses(answers).select("session_id", "filename", "vendor", "amount")
+
+
 def session_catalog(spark, sf):
     return sessions.session_catalog(bindings.ledger(spark, sf), "date")
 
@@ -339,6 +371,9 @@ QUERIES: dict[str, Query] = {
     "retrieval_context": retrieval_context,
     "similar_to_labels": similar_to_labels,
     "hashed_embeddings": hashed_embeddings,
+    "csv_rows": csv_rows,
+    "ledger_documents": ledger_documents,
+    "extract_responses": extract_responses,
     "session_catalog": session_catalog,
     "session_count": session_count,
     "records": records,

@@ -398,3 +398,11 @@ ORACLES["anomalies"] = " UNION ALL ".join(
         f"SELECT 'seasonal_spike', count(*) FROM ({ORACLES['anomaly_seasonal'].replace('11e-1', '2')}) WHERE is_anomaly HAVING count(*) > 0",
     ]
 )
+
+ORACLES["csv_rows"] = _ledger(
+    "SELECT txn_id, CAST(date AS VARCHAR) AS date, vendor, CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) AS amount, category FROM ledger"
+)
+ORACLES["ledger_documents"] = (
+    f"SELECT doc_id, document_type, text FROM ({monthly_doc()}) UNION ALL SELECT doc_id, document_type, text FROM ({ORACLES['txn_documents']})"
+)
+ORACLES["extract_responses"] = _ledger("SELECT session_id, CAST(txn_id AS VARCHAR) AS filename, vendor, amount FROM ledger")
