@@ -263,10 +263,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, schema)
 
 
-def training(docs: DataFrame, labels: DataFrame, held_out: Column, label: str) -> DataFrame:
-    """(text, label) of the labelled documents that are not held out."""
+def training(docs: DataFrame, labels: DataFrame, held_out: Column, label: str, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(text, label) of the labelled documents that are not held out.
+
+    At most about ``train_rows`` labels take part, chosen by the hash of their id. So the
+    labels are small enough to go to the documents, whose texts stay where they are.
+    """
     known = labels.filter(~held_out).select("doc_id", F.col(label).cast("int").alias("label")).dropna()
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "label")
+    total = known.count()
+    if total > train_rows:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / total))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
 
 
 def is_held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> Column:
