@@ -184,6 +184,12 @@ def lexicon(counts: DataFrame, toxic: int, other: int) -> dict[str, float]:
     rows = {r["term"]: (r["weight"], r["toxic"]) for r in found.collect()}
     least = LEAST_SHARE * max((w for w, _ in rows.values()), default=0.0)
     rows = {t: r for t, r in rows.items() if r[0] >= least}
+    # Of nested patterns with the same toxic texts the longest stands for all: the whole
+    # word where it is always that word, else the beginning its forms share.
+    longer: dict[str, int] = {}
+    for term, (_, texts) in rows.items():
+        longer[term[:-1]] = max(texts, longer.get(term[:-1], 0))
+    rows = {t: r for t, r in rows.items() if longer.get(t, 0) < r[1]}
     kept: dict[str, float] = {}
     for term in sorted(rows, key=lambda t: (len(t), t)):
         weight, texts = rows[term]
