@@ -88,7 +88,8 @@ def joined(lines: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
     """(digest, license): one row per known text."""
-    rows = spark.createDataFrame(sorted(known.items()), "license string, text string")
+    pairs = (F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted(known.items()))
+    rows = spark.range(1).select(F.inline(F.array(*pairs)))
     return rows.select(F.sha2(joined(canonical(F.col("text"))), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 

@@ -132,3 +132,12 @@ def test_license_scan_has_no_python(spark, documents):
 @pytest.mark.parametrize("name", ["op6_licenses", "op7_exact", "op8_decontam"])
 def test_query_equals_sql(spark, sf, name):
     assert differences(spark, duck(sf), sf, entry.queries()[name], entry.oracle_sql()[name]) == ""
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op")))
+def test_queries_return_a_row_for_every_input(spark, sf, name):
+    rows = entry.queries()[name](spark, sf)
+    table, key = ("pages", "page_id") if name.startswith("op9") else ("documents", "doc_id")
+    there = spark.read.parquet(f"{sf}/{table}.parquet")
+    assert rows.select(key).distinct().count() == there.count()
+    assert rows.count() == there.count() or name == "op1_packing"
