@@ -13,7 +13,7 @@ from ledgerloom.operators.ranking import spread_row_number
 
 # A month's document has pages of so many large transactions at every size of ledger.
 LARGE_ROWS_PER_PAGE = 1000
-_SLOTS = 256
+_SLOTS = 64
 
 
 def amount_text(col: Column) -> Column:
@@ -147,8 +147,10 @@ def large_pages(df: DataFrame, keys: Sequence[str], rows_per_page: int) -> DataF
     """Large transactions of each month as text lines, at most ``rows_per_page`` per page."""
     group = [*keys, "month"]
     large = monthly.month_large_txns(df, keys=keys)
-    low, high = df.agg(F.min("txn_id")).scalar(), df.agg(F.max("txn_id")).scalar()
-    slot = F.floor((F.col("txn_id") - low) / (high - low + 1) * _SLOTS)
+    # Slots hold about equally many rows, however the ids are spread.
+    marks = large.agg(F.percentile_approx("txn_id", [k / _SLOTS for k in range(1, _SLOTS)])).scalar()
+    large = large.withColumn("_marks", marks)
+    slot = F.size(F.filter("_marks", lambda m: m < F.col("txn_id")))
     ranked = spread_row_number(large, group, F.col("txn_id"), slot, "_rank")
     line = F.concat_ws(
         " ",
