@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.logistic import fit_logistic
+
 TRAIN_ROWS = 200_000
 PAIRS_EACH = 4
 THRESHOLD = 0.3
@@ -92,19 +94,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def bradley_terry(better: np.ndarray, worse: np.ndarray, rounds: int = 60, penalty: float = 1.0) -> np.ndarray:
-    """Weights that make the better of each pair likelier, by Newton steps on the logistic loss."""
-    x = better - worse
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - 1) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+def bradley_terry(better: np.ndarray, worse: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Weights that make the better of each pair likelier, by the logistic loss."""
+    return fit_logistic(better - worse, np.ones(len(better)), penalty)
 
 
 def learn(x: np.ndarray, labels: np.ndarray, pairs_each: int = PAIRS_EACH, seed: int = 5) -> Model:

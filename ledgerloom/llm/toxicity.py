@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.logistic import fit_logistic
 from ledgerloom.llm.store import written
 
 # Characters that look like a letter, and signs and digits written for one.
@@ -200,27 +201,18 @@ def lexicon(counts: DataFrame, toxic: int, other: int) -> dict[str, float]:
     return kept
 
 
-def calibrate(features: np.ndarray, labels: np.ndarray, rounds: int = 40, penalty: float = 0.05) -> tuple[float, tuple[float, ...]]:
+def calibrate(features: np.ndarray, labels: np.ndarray, penalty: float = 0.05) -> tuple[float, tuple[float, ...]]:
     """Bias and non-negative slopes of a logistic fit with a small penalty."""
     x = np.c_[np.ones(len(features)), features]
-    w = np.zeros(x.shape[1])
     free = np.ones(x.shape[1], bool)
-    for _ in range(3):
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(x[:, free] @ w[free], -30, 30)))
-            gradient = x[:, free].T @ (p - labels) + penalty * w[free]
-            hessian = (x[:, free] * (p * (1 - p))[:, None]).T @ x[:, free] + penalty * np.eye(free.sum())
-            step = np.linalg.solve(hessian, gradient)
-            w[free] -= step
-            if np.abs(step).max() < 1e-9:
-                break
-        bad = free & (w < 0)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[free] = fit_logistic(x[:, free], labels, penalty)
+        bad = w < 0
         bad[0] = False
         if not bad.any():
-            break
+            return float(w[0]), tuple(float(v) for v in w[1:])
         free &= ~bad
-        w[~free] = 0
-    return float(w[0]), tuple(float(v) for v in w[1:])
 
 
 def fit(texts: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, train_rows: int = TRAIN_ROWS) -> Model:

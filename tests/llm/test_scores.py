@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -141,3 +142,13 @@ def test_queries_return_a_row_for_every_input(spark, sf, name):
     there = spark.read.parquet(f"{sf}/{table}.parquet")
     assert rows.select(key).distinct().count() == there.count()
     assert rows.count() == there.count() or name == "op1_packing"
+
+
+def test_calibration_of_separable_labels_comes_to_rest():
+    rng = np.random.default_rng(0)
+    labels = (rng.random(20_000) < 0.1).astype(float)
+    hits = labels * rng.integers(1, 60, 20_000) * 6.0
+    found = np.c_[np.log1p(hits), np.sqrt(hits / 300), hits > 0]
+    bias, slopes = toxicity.calibrate(found, labels)
+    z = bias + found @ np.array(slopes)
+    assert np.isfinite(z).all() and ((z > np.log(0.7 / 0.3)) == (labels == 1)).all() and min(slopes) >= 0
