@@ -26,8 +26,9 @@ TAIL = ".,;:!?*$#%&|"
 # Letters that normalisation maps one to one.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 LONGEST_KEPT = 64
-MOST_KEPT = 600_000
+MOST_KEPT = 450_000
 JOINED = 2_000
+FORMATS = [f"<{n}I" for n in range(40)]
 
 
 class PieceEncoder:
@@ -43,9 +44,10 @@ class PieceEncoder:
         # A vocabulary that drops white space needs only the words between it.
         self.spaced = bool(tokenizer.encode(" ", add_special_tokens=False).ids)
         self.pieces = PIECES[self.spaced]
-        self.word = re.compile(f"{' ?' if self.spaced else ''}[{LETTERS}]+").fullmatch
+        self.plain = re.compile(f"{' ?' if self.spaced else ''}[{LETTERS}]+").fullmatch
         self.chars = {ord(c): self._mapped(c) for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c)}
-        self.chars[ord(" ")] = self._mapped(" a")[:-1]
+        self.cased = self._mapped("A") == "A"
+        self.blank = self.chars[ord(" ")] = self._mapped(" a")[:-1]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -71,46 +73,40 @@ class PieceEncoder:
         return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def _word(self, word: str) -> bytes:
-        """Ids of one plain word: the model alone decides."""
-        ids = [t.id for t in self.model.tokenize(word.translate(self.chars))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _core(self, core: str) -> bytes | None:
-        known = self.known
-        ids = known.get(core) or self.older.get(core)
-        if ids is None and self.word(core):
-            ids = self._word(core)
-        if ids is not None and len(core) <= LONGEST_KEPT:
-            known[core] = ids
-        return ids
+        """Ids of one plain word, with or without a blank before it: the model alone decides."""
+        if word.isascii():
+            mapped = self.blank + word[1:] if word[0] == " " else word if self.cased else word.lower()
+        else:
+            mapped = word.translate(self.chars)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(FORMATS[len(ids)] if len(ids) < len(FORMATS) else f"<{len(ids)}I", *ids)
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are not in ``known``."""
+        known, older, plain = self.known, self.older, self.plain
         out, odd = {}, []
         for p in pieces:
-            ids = self.older.get(p)
+            ids = older.get(p)
             if ids is None:
-                if "\n" in p and len(parts := self.pieces.findall(p)) > 1:
-                    out[p] = self._pieces(parts)
-                    continue
                 core = p.rstrip(TAIL)
-                line = b""
-                if self.spaced and core[:1] == "\n" and core[1:].isalpha():
-                    line, bare = self._line(), core[1:]
-                else:
-                    bare = core
-                if len(core) == len(p):
-                    ids = self._core(bare)
-                elif self.word(bare):
-                    ids = self._core(bare) + self._tail(p[len(core) :])
-                if ids is None:
+                bare = core[1:] if self.spaced and core[:1] == " " else core
+                if not (bare.isascii() and bare.isalpha() or plain(core)):
                     odd.append(p)
                     continue
-                ids = line + ids
+                ids = known.get(core) or older.get(core)
+                if ids is None:
+                    ids = self._word(core)
+                if len(core) < len(p):
+                    known[core] = ids
+                    ids += self._tail(p[len(core) :])
             out[p] = ids
         runs = []
         for p in odd:
-            if self.spaced and (p.isspace() or not p[0].isspace()):
+            if "\n" in p and len(parts := self.pieces.findall(p)) > 1:
+                out[p] = self._pieces(parts)
+            elif self.spaced and p[0] == "\n" and p[1:].isalpha():
+                out[p] = self._line() + self._pieces([p[1:]])
+            elif self.spaced and (p.isspace() or not p[0].isspace()):
                 out[p] = self._whole(p)  # would run into the piece before it
             else:
                 runs.append(p)
