@@ -18,12 +18,14 @@ BLOCK = 2048
 LANES = 4096
 MOST_ID = 1 << 20
 TABLE_BITS = 9
-SYMBOLS = 15  # order 2, order 1, then size classes
+SYMBOLS = 7  # order 2, order 1, then size classes
 TOTAL_BITS = 12
 FULL = ((1 << TOTAL_BITS) - SYMBOLS) << 3
-# Classes of ids: first id and number of bits below it.
-FIRST = np.array([0, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072, 262144, 524288], np.int64)
-BITS = np.array([0, 0, 8, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19], np.uint64)
+# Weights move at every step of a young block, later at every second one.
+YOUNG = 64
+# Classes of ids: first id and number of bits of the place inside.
+FIRST = np.array([0, 0, 0, 1024, 5120, 21504, 54272], np.int64)
+BITS = np.array([0, 0, 10, 12, 14, 15, 20], np.uint64)
 COLUMNS = np.arange(SYMBOLS + 1, dtype=np.int16)
 TARGETS = np.where(COLUMNS[None, :] > np.arange(SYMBOLS)[:, None], FULL, 0).astype(np.int16)
 U32, LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -74,12 +76,13 @@ class _Model:
 
     def learn(self, next_id: np.ndarray, symbol: np.ndarray, step: int) -> None:
         """next_id: ids plus one, as 32-bit integers."""
-        seen = self.seen
-        change = TARGETS.take(symbol, axis=0, mode="clip")
-        change -= seen
-        change >>= 4 if step < 48 else 5
-        seen += change
-        self.rows[self.row] = seen.view(self.rows.dtype).ravel()
+        if step < YOUNG or step & 1:
+            seen = self.seen
+            change = TARGETS.take(symbol, axis=0, mode="clip")
+            change -= seen
+            change >>= 4
+            seen += change
+            self.rows[self.row] = seen.view(self.rows.dtype).ravel()
         self.after1[self.at1] = next_id
         self.after2[self.at2] = next_id
         self.last2, self.last1 = self.last1, next_id.astype(np.int64)
@@ -162,8 +165,8 @@ def _decode_lanes(payloads: list[bytes], steps: int) -> np.ndarray:
         p2, p1, cum = model.predict()
         span >>= TOTAL
         point = np.minimum(value // span, most).astype(np.int16)
-        below = (cum <= point[:, None]).view(np.uint64)
-        count = below[:, 0] + below[:, 1]
+        # Eight truth values of a row as one number; their sum ends up in its top byte.
+        count = (cum <= point[:, None]).view(np.uint64).ravel()
         count *= ONES
         count >>= TOP
         symbol = count.view(np.int64)
