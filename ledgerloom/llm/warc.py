@@ -155,7 +155,7 @@ class SeekTable:
 
 
 def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int = 0) -> DataFrame:
-    """(id, refers_to) of pages whose payload another page with a smaller id has.
+    """(id, sha, refers_to) of pages whose payload another page with a smaller id has.
 
     Only digests are moved; groups are counted before the shuffle.
     """
@@ -163,7 +163,7 @@ def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int = 0) -
     small = pages.select(F.col(id_col).alias("_id"), F.sha2(payload, 256).alias("_sha")).filter(F.octet_length(payload) >= min_bytes)
     first = small.groupBy("_sha").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last")
     found = small.join(first.drop("_last"), "_sha").filter("_id > _first")
-    return found.select("_id", F.col("_first").cast("string").alias("_refers_to")).distinct()
+    return found.select("_id", "_sha", F.col("_first").cast("string").alias("_refers_to")).distinct()
 
 
 def write(
@@ -181,7 +181,8 @@ def write(
     rows = pages.select(
         F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html")
     )
-    rows = rows.join(revisits(pages, id_col, html_col, min_bytes), "_id", "left")
+    # An id may be that of several payloads, so the payload takes part.
+    rows = rows.withColumn("_sha", F.sha2("_html", 256)).join(revisits(pages, id_col, html_col, min_bytes), ["_id", "_sha"], "left")
     rows = rows.select(F.col("_id").cast("string"), "_url", "_html", "_refers_to")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

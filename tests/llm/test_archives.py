@@ -99,3 +99,13 @@ def test_pipeline_keeps_documents_without_id_or_text(spark, sf, make_docs):
         docs = stage(spark, docs, sf)
     # Null and empty texts are equal to one another.
     assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "3", "None"]
+
+
+def test_a_repeated_page_id_with_other_payloads_keeps_each(spark):
+    rows = [(3, "A"), (7, "A"), (7, "B"), (4, "C"), (8, "A"), (8, "C"), (8, "C")]
+    pages = spark.createDataFrame([(i, "u", h, "b", 1) for i, h in rows], PAGES)
+    found = warc.read(warc.write(pages)).collect()
+    kinds = sorted((r["page_id"], r["payload_digest"], r["refers_to"] or "") for r in found)
+    first = {"A": 3, "B": 7, "C": 4}
+    assert kinds == sorted((str(i), warc.digest(h.encode()), "" if first[h] == i else str(first[h])) for i, h in rows)
+    assert {bytes(r["payload"]) for r in found if r["payload"] is not None} == {b"A", b"B", b"C"}
