@@ -7,8 +7,9 @@ path has SQL functions only, and the order of the steps is fixed, so any SQL eng
 repeats it.
 
 Defined results: a null text counts as empty, and an empty canonical form matches
-nothing; rows with null or repeated ids are scanned each; an empty table gives an empty
-table; other columns of a document are not read.
+nothing; rows that share an id, or have none, are scanned each and give one result, as in the
+SQL: every one of them shows the first licence by name and all notices found in any of them;
+an empty table gives an empty table; other columns of a document are not read.
 """
 
 from __future__ import annotations
