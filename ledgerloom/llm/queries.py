@@ -13,6 +13,7 @@ from ledgerloom.llm import (
     licenses,
     packing,
     quality,
+    runs,
     simhash,
     token_counts,
     token_files,
@@ -96,6 +97,23 @@ def op10_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def planted_repeats(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """Of a tenth of the documents, chosen by id, the words from some place on repeat."""
+    import zlib
+
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a]
+
+
+def op13_runs(spark, sf_dir):
+    return runs.run_report(_table(spark, sf_dir, "documents"), rewrite=planted_repeats).drop("collapsed")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -113,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
 
