@@ -12,6 +12,7 @@ from ledgerloom.llm import (
     exact,
     licenses,
     packing,
+    pii,
     quality,
     runs,
     simhash,
@@ -97,6 +98,14 @@ def op10_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_pii(spark, sf_dir):
+    found = pii.personal_spans(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def planted_repeats(doc_id: object, words: list[bytes]) -> list[bytes]:
     """Of a tenth of the documents, chosen by id, the words from some place on repeat."""
     import zlib
@@ -131,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_pii": op11_pii,
     "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
