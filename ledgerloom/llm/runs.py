@@ -3,8 +3,8 @@
 A run is a maximal stretch with smallest period q and at least ``max(LEAST, 2 * q)`` words.
 ``tiles`` explodes a document: periods up to an octave share tiles that overlap by more than
 the shortest run of that octave, so every such stretch lies whole in some tile; octaves whose tile
-would hold the whole document share one. Tiles are dealt to tasks by document, octave and place,
-so a long document is solved in many.
+would hold the whole document share one. Tiles of a document that may have several are dealt to
+tasks by document, octave and place, so a long document is solved in many.
 
 ``solve`` looks at boundaries in a tile, as far apart as the octave's smallest period. A run
 holds some boundary c with its period c..c+p, so the lengths to which the text goes on alike
@@ -296,11 +296,14 @@ def word_runs(
 ) -> DataFrame:
     """(_id, _digest, period, start, length): all runs of every document.
 
-    ``_digest`` is the MD5 of the text. ``rewrite`` may change a document's words first.
+    ``_digest`` is the MD5 of the text. ``rewrite`` may change a document's words first, not their number.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiles(_keyed(docs, id_col, text_col), rewrite, tile, periods).repartition(parts, "_id", "_digest", "low", "at")
-    return stitch(fragments(dealt))
+    keyed = _keyed(docs, id_col, text_col)
+    # A text of fewer characters has no second tile, so it stays where it is read.
+    far = F.length("_text") >= 2 * tile
+    dealt = tiles(keyed.filter(far), rewrite, tile, periods).repartition(parts, "_id", "_digest", "low", "at")
+    return stitch(fragments(tiles(keyed.filter(~far), rewrite, tile, periods).unionByName(dealt)))
 
 
 def run_report(
