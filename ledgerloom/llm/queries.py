@@ -15,6 +15,7 @@ from ledgerloom.llm import (
     pii,
     quality,
     runs,
+    search,
     simhash,
     token_counts,
     token_files,
@@ -106,6 +107,10 @@ def op11_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op12_search(spark, sf_dir):
+    return search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def planted_repeats(doc_id: object, words: list[bytes]) -> list[bytes]:
     """Of a tenth of the documents, chosen by id, the words from some place on repeat."""
     import zlib
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
     "op11_pii": op11_pii,
+    "op12_search": op12_search,
     "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
@@ -180,8 +186,31 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.
 FROM doc d LEFT JOIN words h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
+OP12_SQL = f"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+sums AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), sums),
+part AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len))) AS part
+  FROM tf JOIN n USING (doc_id) JOIN w USING (term), sums
+), q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(part * times) AS BIGINT) AS score FROM part JOIN q USING (term) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op6_licenses": licenses.scan_sql(),
     "op7_exact": OP7_SQL,
     "op8_decontam": OP8_SQL,
+    "op12_search": OP12_SQL,
 }
