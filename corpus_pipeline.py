@@ -9,65 +9,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, exact, near_copies, packing, queries, toxicity
+from ledgerloom.llm import decontam, exact, packing, queries, simhash, toxicity
 from ledgerloom.llm.store import fresh_folder, written
 
-ROW = "_stage_row"
+def _row(docs: DataFrame) -> str:
+    """A column name that the documents do not have."""
+    name = "_stage_row"
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
-def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Documents whose own key is not among ``rows``."""
-    return keyed.join(rows, ROW, "left_anti").drop(ROW)
-
-
-def _by_text(docs: DataFrame) -> DataFrame:
+def _by_text(docs: DataFrame, row: str) -> DataFrame:
     """The documents with their id and text digest as key, for decisions that only the text settles."""
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return docs.withColumn(ROW, F.struct(F.col("doc_id").alias("id"), digest.alias("digest")))
+    return docs.withColumn(row, F.struct(F.col("doc_id").alias("id"), digest.alias("digest")))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, row: str) -> DataFrame:
     """The documents, written with a number no other row has."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-documents")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity limit."""
-    keyed = _by_text(docs)
-    scores = toxicity.score(keyed, queries.toxicity_model(spark, sf_dir), ROW)
-    return _without(keyed, scores.filter(F.col("score") >= queries.TOXIC).select(ROW))
+    row = _row(docs)
+    keyed = _by_text(docs, row)
+    scores = toxicity.score(keyed, queries.toxicity_model(spark, sf_dir), row)
+    return keyed.join(scores.filter(F.col("score") >= queries.TOXIC).select(row), row, "left_anti").drop(row)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row with the largest id."""
-    keyed = _keyed(docs)
+    row = _row(docs)
+    keyed = _keyed(docs, row)
     # A null id is smallest; rows with equal ids are told apart by text and number.
-    order = F.struct("doc_id", F.xxhash64("text").alias("digest"), ROW)
+    order = F.struct("doc_id", F.xxhash64("text").alias("digest"), F.col(row).alias("row"))
     found = exact.exact_duplicates(keyed.select(order.alias("order"), "text"), "order")
-    return _without(keyed, found.filter(~F.col("kept")).select(f"order.{ROW}"))
+    gone = found.filter(~F.col("kept")).select(F.col("order.row").alias(row))
+    return keyed.join(gone, row, "left_anti").drop(row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id.
 
-    Near copies share 0.8 or more of their different five-word runs, exactly compared.
+    Near copies are linked by fingerprints of four-word shingles that differ in at most four bits.
     """
-    keyed = _keyed(docs)
-    found = near_copies.near_copies(keyed, ROW)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
-    members = found.withColumnRenamed("row", ROW).join(keyed.select(ROW, order.alias("_order")), ROW)
-    members = written(members, "near-copies")
-    first = members.groupBy("root").agg(F.min("_order").alias("_first"))
-    gone = members.join(first, "root").filter(F.col("_order") != F.col("_first")).select(ROW)
-    return _without(keyed, gone)
+    row = _row(docs)
+    keyed = _keyed(docs, row)
+    # A null id is largest; rows with equal ids are told apart by text and number.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("digest"), F.col(row).alias("row"))
+    found = simhash.near_duplicates(keyed.select(order.alias("order"), "text"), "order", distance=simhash.DISTANCE)
+    gone = found.filter(F.col("order") != F.col("component_id")).select(F.col("order.row").alias(row))
+    return keyed.join(gone, row, "left_anti").drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = _by_text(docs)
-    found = decontam.judged(decontam.contamination(keyed, benchmark, ROW), ROW)
-    return _without(keyed, found.filter("contaminated").select(ROW))
+    row = _row(docs)
+    keyed = _by_text(docs, row)
+    found = decontam.judged(decontam.contamination(keyed, benchmark, row), row)
+    return keyed.join(found.filter("contaminated").select(row), row, "left_anti").drop(row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
