@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ledgerloom.functions import text
 
@@ -33,25 +37,46 @@ def embed_text(
     if encoder is not None:
         return df.withColumn(out, encoder(F.col(column)))
     words = F.coalesce(text.words(F.lower(F.col(column))), F.array().cast("array<string>"))
-    place = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims
-    placed = df.withColumn("_at", F.transform(words, place))
-    slots = F.sequence(F.lit(0), F.lit(dims - 1))
-    count = lambda i: F.size(F.filter("_at", lambda b: b == i)).cast("double")
-    counted = placed.withColumn("_counts", F.transform(slots, count))
-    sized = counted.withColumn("_size", F.sqrt(dot(F.col("_counts"), F.col("_counts"))))
-    unit = F.transform("_counts", lambda x: F.when(F.col("_size") > 0, x / F.col("_size")).otherwise(0.0))
-    return sized.withColumn(out, unit.cast("array<float>")).drop("_at", "_counts", "_size")
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims)
+    return df.withColumn(out, _hashed(dims)(places))
 
 
-def dot(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y)
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+def _hashed(dims: int):
+    """Numbers of places to counts of each place, scaled to unit length; a batch is counted at once."""
 
+    @F.arrow_udf(ArrayType(FloatType()))
+    def count(places: pa.Array) -> pa.Array:
+        n = len(places)
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(places), 0).to_numpy())
+        at = row * dims + places.flatten().to_numpy()
+        counts = np.bincount(at, minlength=n * dims).astype(np.float64).reshape(n, dims)
+        size = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+        unit = counts / np.where(size > 0, size, 1.0)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(unit.astype(np.float32).ravel()))
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity to nine decimals, so that equal ones tie; 0 when either vector has no length."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, F.round(dot(a, b) / norms, 9)).otherwise(F.lit(0.0))
+    return count
+
+
+@F.arrow_udf(DoubleType())
+def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Cosine similarity to nine decimals, so that equal ones tie; 0 when a vector is null or has no length.
+
+    A batch is one multiplication of matrices; lambdas over array elements cost a hundred times more.
+    """
+    known = pc.and_(pc.is_valid(a), pc.is_valid(b))
+    out = np.zeros(len(a))
+    x, y = matrix(a.filter(known)), matrix(b.filter(known))
+    if x.size:
+        norms = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+        dots = np.einsum("ij,ij->i", x, y)
+        out[known.to_numpy(zero_copy_only=False)] = np.where(norms > 0, np.round(dots / np.where(norms > 0, norms, 1.0), 9), 0.0)
+    return pa.array(out)
+
+
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of an array of equally long lists."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
 
 
 def similar_transactions(
@@ -63,11 +88,12 @@ def similar_transactions(
 ) -> DataFrame:
     """The ``k`` nearest rows of the index above the similarity floor.
 
-    ``query`` is one vector, given as a literal array or a scalar subquery, so
-    the scan needs no join and ends in a top-k per task and a merge.
+    ``query`` is one vector, given as a literal array or a scalar subquery, which is worked
+    out first. The scan needs no join and ends in a top-k per task and a merge.
     """
-    asked = index.withColumn("_query", query)
-    scored = asked.withColumn("similarity", cosine(F.col("embedding"), F.col("_query"))).drop("_query")
+    # One vector comes to the driver and goes to the tasks as a literal.
+    asked = index.sparkSession.range(1).select(query.cast("array<double>").alias("v")).collect()[0]["v"]
+    scored = index.withColumn("similarity", cosine(F.col("embedding").cast("array<double>"), F.lit(asked).cast("array<double>")))
     nearest = scored.orderBy(F.desc("similarity"), F.desc(id_column)).limit(k)
     return nearest.where(F.col("similarity") > min_similarity)
 
@@ -94,7 +120,7 @@ def similar_batch(
         scored = index.join(asked).select(
             "query_id",
             *(c for c in index.columns if c != "embedding"),
-            cosine(F.col("embedding"), F.col("vector")).alias("similarity"),
+            cosine(F.col("embedding").cast("array<double>"), F.col("vector").cast("array<double>")).alias("similarity"),
         )
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc(id_column))
         near = scored.where(F.col("similarity") > min_similarity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
 from ledgerloom.functions.similarity import word_jaccard, word_overlap
+from ledgerloom.lineage import checkpoint, shared_folder
 from ledgerloom.matching import scoring
 from ledgerloom.operators import anomalies, clean, documents, monthly, summary, vectors
 from ledgerloom.operators import responses as extraction
+from ledgerloom.operators.vector_index import VectorIndex
 from ledgerloom.plans import analysis, bindings, reconcile
 from ledgerloom.sources import ledgers, sessions, sinks
 
@@ -224,7 +227,9 @@ def index_stats(spark, sf):
 def _first_vector(spark, sf):
     """The index, and the vector of its first text as the question."""
     index = bindings.vector_index(spark, sf)
-    return index, index.agg(F.min_by("embedding", "doc_id")).scalar()
+    texts = bindings.ledger(spark, sf).select("txn_id", documents.index_text(bindings.ledger(spark, sf)).alias("text"))
+    # Only the one text is embedded a second time.
+    return index, vectors.embed_text(texts.agg(F.min_by("text", "txn_id").alias("text"))).select("embedding").scalar()
 
 
 def similar(spark, sf):
@@ -238,9 +243,9 @@ def retrieval_context(spark, sf):
     return vectors.retrieval_context(vectors.similar_transactions(index, query))
 
 
-def similar_to_labels(spark, sf):
-    """Nearest ledger rows of every label's mean vector."""
-    means = (
+def _label_means(spark, sf) -> DataFrame:
+    """(query_id, vector): the mean vector of every label."""
+    return (
         bindings.table(spark, sf, "embeddings")
         .select("label", F.posexplode("embedding"))
         .groupBy("label", "pos")
@@ -248,7 +253,62 @@ def similar_to_labels(spark, sf):
         .groupBy(F.col("label").cast("string").alias("query_id"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
     )
-    found = vectors.similar_batch(bindings.vector_index(spark, sf), means)
+
+
+def similar_to_labels(spark, sf):
+    """Nearest ledger rows of every label's mean vector."""
+    found = vectors.similar_batch(bindings.vector_index(spark, sf), _label_means(spark, sf))
+    return found.select("query_id", "rank", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _new_index(spark) -> VectorIndex:
+    return VectorIndex(spark, f"{shared_folder(spark).rstrip('/')}/vector-index-{uuid.uuid4().hex}")
+
+
+def _line_index(spark, sf) -> VectorIndex:
+    """A kept index over every ledger row's text."""
+    rows = bindings.ledger(spark, sf)
+    index = _new_index(spark)
+    index.build(rows.select(F.col("txn_id").alias("doc_id"), "amount", documents.index_text(rows).alias("text")))
+    return index
+
+
+def index_search(spark, sf):
+    """The rows most like the first one, from the lists that can hold them."""
+    index = _line_index(spark, sf)
+    first = index.documents().agg(F.min_by("embedding", "doc_id").alias("v")).collect()[0]["v"]
+    return index.search(first).select("doc_id", "text", "amount", F.round("similarity", 6).alias("similarity"))
+
+
+def index_search_batch(spark, sf):
+    found = _line_index(spark, sf).search_batch(_label_means(spark, sf))
+    return found.select("query_id", "rank", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _indexed_documents(spark, sf) -> DataFrame:
+    """Monthly and transaction documents, rendered once."""
+    return checkpoint(documents.ledger_documents(bindings.ledger(spark, sf), include_transactions=True))
+
+
+def document_index(spark, sf):
+    """Every document of an index built from the transactions, then from all documents, and
+    how many documents a third build embeds again."""
+    docs = _indexed_documents(spark, sf)
+    index = _new_index(spark)
+    index.build(docs.where("document_type = 'transaction'"), whole=False)
+    index.build(docs)
+    again = index.build(docs)
+    return index.documents().select("doc_id", "document_type", "digest", F.lit(again.embedded).alias("embedded_again"))
+
+
+def document_query(spark, sf):
+    """The documents most like a question about each category."""
+    asked = bindings.table(spark, sf, "part").select(F.col("p_type").alias("query_id")).distinct()
+    asked = asked.withColumn("text", F.concat(F.lit("Transaction record of category: "), "query_id"))
+    questions = vectors.embed_text(asked).select("query_id", F.col("embedding").alias("vector"))
+    index = _new_index(spark)
+    index.build(_indexed_documents(spark, sf))
+    found = index.search_batch(questions)
     return found.select("query_id", "rank", "doc_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -370,6 +430,10 @@ QUERIES: dict[str, Query] = {
     "similar_transactions": similar,
     "retrieval_context": retrieval_context,
     "similar_to_labels": similar_to_labels,
+    "index_search": index_search,
+    "index_search_batch": index_search_batch,
+    "document_index": document_index,
+    "document_query": document_query,
     "hashed_embeddings": hashed_embeddings,
     "csv_rows": csv_rows,
     "ledger_documents": ledger_documents,

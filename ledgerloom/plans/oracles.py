@@ -160,13 +160,19 @@ fields AS (
 
 INDEX_TEXT = f"'Date: ' || date || ' Amount: $' || {_amount_text('amount')} || ' Description: ' || description || ' Category: ' || category"
 
+def _embedded(texts: str, name: str, keep: str) -> str:
+    """CTEs that hash the words of ``texts`` into unit vectors ``v`` of a table ``name``."""
+    return f"""{name}_counts AS (
+  SELECT {keep}, list_transform(range(0, 64), lambda i: CAST(len(list_filter(places, lambda x: x = i)) AS DOUBLE)) AS c
+  FROM (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''),
+                                 lambda w: CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 64) AS places FROM {texts})),
+{name} AS (
+  SELECT {keep}, list_transform(c, lambda x: CAST(CAST(x / size AS FLOAT) AS DOUBLE)) AS v
+  FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS size FROM {name}_counts))"""
+
+
 VECTORS = f"""texts AS (SELECT txn_id AS doc_id, amount, {INDEX_TEXT} AS text FROM ledger),
-counts AS (
-  SELECT doc_id, amount, text, list_transform(range(0, 64), lambda i: CAST(len(list_filter(places, lambda x: x = i)) AS DOUBLE)) AS c
-  FROM (SELECT *, list_transform(string_split(lower(text), ' '), lambda w: CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 64) AS places FROM texts)),
-vectors AS (
-  SELECT doc_id, amount, text, list_transform(c, lambda x: CAST(CAST(x / size AS FLOAT) AS DOUBLE)) AS v
-  FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS size FROM counts))"""
+{_embedded("texts", "vectors", "doc_id, amount, text")}"""
 
 SIMILAR = f"""{VECTORS}, q AS (SELECT arg_min(v, doc_id) AS qv FROM vectors),
 near AS (
@@ -406,3 +412,16 @@ ORACLES["ledger_documents"] = (
     f"SELECT doc_id, document_type, text FROM ({monthly_doc()}) UNION ALL SELECT doc_id, document_type, text FROM ({ORACLES['txn_documents']})"
 )
 ORACLES["extract_responses"] = _ledger("SELECT session_id, CAST(txn_id AS VARCHAR) AS filename, vendor, amount FROM ledger")
+ORACLES["index_search"] = ORACLES["similar_transactions"]
+ORACLES["index_search_batch"] = ORACLES["similar_to_labels"]
+ORACLES["document_index"] = (
+    f"SELECT doc_id, document_type, sha256(text) AS digest, CAST(0 AS INTEGER) AS embedded_again FROM ({ORACLES['ledger_documents']})"
+)
+ORACLES["document_query"] = f"""
+WITH docs AS ({ORACLES["ledger_documents"]}),
+asked AS (SELECT DISTINCT p_type AS query_id, 'Transaction record of category: ' || p_type AS text FROM part),
+{_embedded("docs", "d", "doc_id")}, {_embedded("asked", "q", "query_id")},
+s AS (SELECT q.query_id, d.doc_id, round(list_cosine_similarity(d.v, q.v), 9) AS similarity FROM d, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id DESC) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, doc_id, round(similarity, 6) AS similarity FROM r WHERE k <= 5 AND similarity > 1e-1
+"""
