@@ -9,34 +9,87 @@ makes each round one DataFrame job.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ledgerloom.lineage import checkpoint
 
 LIST_LENGTH = 64
 # Lists grow from round to round up to this, so a group of equal rows settles in few rounds.
 LONGEST_LIST = 4096
+# Edges of a session that one task may hold: about 200 MB.
+MOST_EDGES = 4_000_000
 
 
 def empty_held(edges: DataFrame) -> DataFrame:
     return edges.where(F.lit(False)).select("session_id", "led", "stmt", "score", F.lit(False).alias("fresh"))
 
 
-def settle(edges: DataFrame, held: DataFrame, list_length: int = LIST_LENGTH) -> DataFrame:
+def settle(edges: DataFrame, held: DataFrame, list_length: int = LIST_LENGTH, most_edges: int = MOST_EDGES) -> DataFrame:
     """Run proposals over ``edges`` until no statement row can improve its state.
 
     ``edges`` has session_id, stmt, led and score; ``held`` the pairs held so
     far. Returns the held pairs; statement rows that lost theirs are absent.
+    Sessions with at most ``most_edges`` edges, counted first, are settled in one job, a
+    session in a task; larger ones in rounds. Both have one result.
     """
+    sizes = edges.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    large = checkpoint(sizes.where(F.col("n") > most_edges).select("session_id"))
+    if large.isEmpty():
+        return checkpoint(_settled_in_tasks(edges, held))
+    small = [df.join(large, "session_id", "left_anti") for df in (edges, held)]
+    some = checkpoint(_settled_in_tasks(*small))
+    edges, held = (df.join(large, "session_id", "left_semi") for df in (edges, held))
     # Every round settles a row or is the last, so this ends without a limit.
     while True:
         held = checkpoint(_round(edges, held, list_length))
         if held.where("fresh").isEmpty():
-            return held
+            return held.unionByName(some)
         list_length = min(2 * list_length, LONGEST_LIST)
 
 
+def _settled_in_tasks(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """Proposals of each session in one task: its edges by numpy order, a stack of rows without a partner."""
+    kind = held.schema["session_id"].dataType
+    spread = edges.select("session_id", "stmt", "led", "score").groupBy("session_id")
+    pairs = held.select(*(F.col(c).alias(f"h_{c}") for c in ("session_id", "led", "stmt", "score"))).groupBy("h_session_id")
+    names = ["session_id", "led", "stmt", "score", "fresh"]
+    kinds = (kind, LongType(), LongType(), DoubleType(), BooleanType())
+    schema = StructType([StructField(n, k) for n, k in zip(names, kinds)])
+
+    def run(wishes: pd.DataFrame, holding: pd.DataFrame) -> pd.DataFrame:
+        session = wishes["session_id"].iloc[0] if len(wishes) else holding["h_session_id"].iloc[0]
+        stmt, led, score = (wishes[c].to_numpy() for c in ("stmt", "led", "score"))
+        order = np.lexsort((led, -score, stmt))
+        stmt, led, score = stmt[order], led[order].tolist(), score[order].tolist()
+        owner = dict(zip(holding["h_led"].tolist(), zip(holding["h_stmt"].tolist(), holding["h_score"].tolist())))
+        rows, first = np.unique(stmt, return_index=True)
+        at = dict(zip(rows.tolist(), first.tolist()))
+        end = dict(zip(rows.tolist(), np.r_[first[1:], len(stmt)].tolist()))
+        busy = {s for s, _ in owner.values()}
+        waiting = [s for s in rows.tolist()[::-1] if s not in busy]
+        while waiting:
+            s = waiting.pop()
+            k, last = at[s], end[s]
+            # The next ledger row that is free, or held by a later statement row.
+            while k < last and owner.get(led[k], (s + 1,))[0] <= s:
+                k += 1
+            at[s] = k + 1
+            if k < last:
+                loser = owner.get(led[k])
+                owner[led[k]] = (s, score[k])
+                # A loser whose edges are not here asks again in another turn.
+                if loser and loser[0] in at:
+                    waiting.append(loser[0])
+        found = [(session, r, s, x, False) for r, (s, x) in owner.items()]
+        return pd.DataFrame(found, columns=names)
+
+    return spread.cogroup(pairs).applyInPandas(run, schema)
+
+
 def _round(edges: DataFrame, held: DataFrame, list_length: int) -> DataFrame:
     holders = held.select("session_id", "led", F.col("stmt").alias("holder"))
     busy = held.select("session_id", "stmt")

@@ -91,10 +91,11 @@ def phase_edges(
     profile, phase = plan.profile, plan.phases[number]
     parts = []
     for block in phase.blocks:
-        left = _keyed(statement, block, "s", plan)
-        right = _visible(ledger, block, plan, shown)
-        names = [SID, *(f"k{i}" for i in range(len(block.keys)))]
-        pairs = left.join(right, names)
+        if block.ceiling == "text":
+            pairs = _by_texts(statement, ledger, block, plan, shown)
+        else:
+            names = [SID, *(f"k{i}" for i in range(len(block.keys)))]
+            pairs = _keyed(statement, block, "s", plan).join(_visible(ledger, block, plan, shown), names)
         parts.append(
             pairs.select(
                 SID, "stmt", "led", "last", F.lit(str(block.ceiling)).alias("ceiling"),
@@ -145,6 +146,36 @@ def _bound(profile) -> Column:
     )
 
 
+def _by_texts(statement: DataFrame, ledger: DataFrame, block: Block, plan: Plan, shown: int) -> DataFrame:
+    """Pairs of a block that looks at texts only, a bounded list for each different pair of texts.
+
+    Statement rows with the same texts rank the block's rows alike as far as texts go, so the best
+    ``shown`` rows, free and held ones apart, are found once for all of them. What was cut is no better
+    than the last row of the list.
+    """
+    texts = [SID, "s_vendor", "s_description"]
+    unknown = {"s_amount": "double", "s_date": "date"}
+    classes = statement.select(*texts).distinct().withColumns({c: F.lit(None).cast(t) for c, t in unknown.items()})
+    names = [SID, *(f"k{i}" for i in range(len(block.keys)))]
+    rows = _keyed(_shown(ledger, block.group, shown, keep=("held",)), block, "l", plan)
+    # A shared word may bring a pair more than once.
+    met = _keyed(classes, block, "s", plan).join(rows, names).dropDuplicates([*texts, "led"])
+    rated = plan.profile.add_scores(met).drop(*unknown)
+    own = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c != SID else F.col(c) == F.col(f"_{c}") for c in texts]
+    order = Window.partitionBy(*texts, "held").orderBy(F.desc(_text_score(plan.profile)), "led")
+    ranked = rated.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= shown)
+    lists = ranked.withColumn("last", F.col("last") | (F.col("_r") == shown)).drop("a", "d", "v", "e", "score", "_r", "held")
+    lists = lists.withColumnsRenamed({c: f"_{c}" for c in texts})
+    return statement.join(lists, own[0] & own[1] & own[2]).drop(*(f"_{c}" for c in texts))
+
+
+def _text_score(profile) -> Column:
+    """What a pair's texts alone are worth, in the order of ``_bound``."""
+    zero = F.lit(0.0)
+    total = profile.total(zero, zero, F.col("v"), F.col("e"))
+    return total if isinstance(profile, Deployed) else profile.rank(total)
+
+
 def _visible(ledger: DataFrame, block: Block, plan: Plan, shown: int) -> DataFrame:
     """Keyed rows of a block, each group cut after its first ``shown`` rows.
 
@@ -156,11 +187,11 @@ def _visible(ledger: DataFrame, block: Block, plan: Plan, shown: int) -> DataFra
     return _keyed(_shown(ledger, block.group, shown), block, "l", plan)
 
 
-def _shown(rows: DataFrame, group: tuple[str, ...], shown: int) -> DataFrame:
+def _shown(rows: DataFrame, group: tuple[str, ...], shown: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """First rows by id of every group, free and held ones apart; the rank prunes before the shuffle."""
     w = Window.partitionBy(SID, *group, "held").orderBy("led")
     ranked = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= shown)
-    return ranked.withColumn("last", F.col("_r") == shown).drop("_r", "held")
+    return ranked.withColumn("last", F.col("_r") == shown).drop(*{"_r", "held"}.difference(keep))
 
 
 def _keyed(df: DataFrame, block: Block, side: str, plan: Plan) -> DataFrame:
