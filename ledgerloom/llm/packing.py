@@ -15,12 +15,13 @@ table. Only the named columns are read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,59 +36,70 @@ OUT_BYTES = 8 << 20
 
 
 def cut(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    capacity: int = CAPACITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    checksums: bool = False,
 ) -> DataFrame:
     """(id, piece, start, length, ids): ids as little-endian unsigned 32-bit integers.
 
     Only documents longer than ``capacity`` are cut, into pieces of exactly that length
-    but for the first, which takes the remainder.
+    but for the first, which takes the remainder. With ``checksums`` the last column is
+    ``ids_crc32`` instead, so that the ids need not leave the worker.
     """
     rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text"))
+    content = F.lit(0).cast("long").alias("ids_crc32") if checksums else F.lit(b"").alias("ids")
     schema = rows.select(
         F.col(id_col),
         F.lit(0).alias("piece"),
         F.lit(0).cast("long").alias("start"),
         F.lit(0).cast("long").alias("length"),
-        F.lit(b"").alias("ids"),
+        content,
     ).schema
     last = np.array([end_id], "<u4").tobytes()
+    kind = pa.int64() if checksums else pa.binary()
+    taken = zlib.crc32 if checksums else bytes
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        encoded = encoder(tokenizer).encode
         for batch in batches:
-            out, held, sources = [], 0, []
+            held, sources, pieces, starts, lengths, contents = 0, [], [], [], [], []
+
+            def flush() -> pa.RecordBatch:
+                columns = [pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(contents, kind)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sources, pa.int64())), *columns], schema.names)
+
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = enc.encode(text) + last
+                ids = encoded(text) + last
                 n = len(ids) // 4
-                first = n % capacity or min(n, capacity)
-                cuts = [0, *range(first, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    out.append((k, a, b - a, ids[4 * a : 4 * b]))
+                if n <= capacity:
                     sources.append(row)
+                    pieces.append(0)
+                    starts.append(0)
+                    lengths.append(n)
+                    contents.append(taken(ids))
+                else:
+                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                    view = memoryview(ids)
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        sources.append(row)
+                        pieces.append(k)
+                        starts.append(a)
+                        lengths.append(b - a)
+                        contents.append(taken(view[4 * a : 4 * b]))
                 held += len(ids)
-                if held > OUT_BYTES:
-                    yield _pieces(batch.column(0), sources, out, id_col)
-                    out, held, sources = [], 0, []
-            if out:
-                yield _pieces(batch.column(0), sources, out, id_col)
+                if held > OUT_BYTES and not checksums:
+                    yield flush()
+                    held, sources, pieces, starts, lengths, contents = 0, [], [], [], [], []
+            if sources:
+                yield flush()
 
     return rows.mapInArrow(encode, schema)
 
 
-def _pieces(owners: pa.Array, sources: list[int], rows: list[tuple], id_col: str) -> pa.RecordBatch:
-    k, start, length, ids = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [
-            owners.take(pa.array(sources, pa.int64())),
-            pa.array(k, pa.int32()),
-            pa.array(start, pa.int64()),
-            pa.array(length, pa.int64()),
-            pa.array(ids, pa.binary()),
-        ],
-        [id_col, "piece", "start", "length", "ids"],
-    )
-
-
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Rows of up to three lengths (0: none), ascending, that fill a sequence exactly."""
     has = np.zeros(capacity + 1, bool)
@@ -246,13 +258,9 @@ def _placer(spark, runs: np.ndarray):
     return place
 
 
-def ids_crc32(ids: Column) -> Column:
-    return F.crc32(ids)
-
-
 def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document with a checksum of their ids and their place."""
-    pieces = cut(docs, tokenizer, end_id, capacity).withColumn("ids_crc32", ids_crc32(F.col("ids"))).drop("ids")
+    pieces = cut(docs, tokenizer, end_id, capacity, checksums=True)
     return pack(written(pieces, "pieces"), capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
