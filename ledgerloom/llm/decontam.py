@@ -8,8 +8,9 @@ A document is looked up word by word; where a filed word occurs, the place gives
 only position the window can have. Windows that would begin before the first or end
 behind the last word are skipped, the others are compared word by word.
 
-The filed windows go to all tasks in blocks of at most ``BLOCK_BYTES``; a benchmark beyond
-that is joined block by block, each against all documents.
+The filed windows go to all tasks in blocks of at most about ``BLOCK_WINDOWS``, some 450 bytes
+each in a worker; documents pass all blocks in one scan. Words are counted in one scan
+before, for ``BLOCK_WORDS`` words of the benchmark at a time.
 
 Defined results: null texts have no words; an item without words has no window; items with
 equal ids count once, a null item id counts as the empty string; ids of documents may be null
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_WINDOWS = 250_000
+BLOCK_WORDS = 1_000_000
 # ASCII letters and digits, after lower-casing, and every other character.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -42,20 +44,41 @@ def item_windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ..
     return [tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))]
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in lists of at most ``block_bytes`` of text, one list on the driver at a time."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_windows: int, size: int = WINDOW) -> Iterator[list[tuple[str, str]]]:
+    """Items in lists of at most ``block_windows`` words, so of no more windows, one list on the driver at a time.
+
+    An item beyond that comes in parts that overlap by a window less one word; parts keep their id.
+    """
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit("")))
     block, held = [], 0
     for item, text in rows.toLocalIterator():
-        if block and held + len(text) > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += len(text)
+        words = words_of(text)
+        step = max(size, block_windows)
+        for at in range(0, max(1, len(words) - size + 1), step):
+            part = words[at : at + step + size - 1]
+            if block and held + len(part) > block_windows:
+                yield block
+                block, held = [], 0
+            block.append((item, b" ".join(part).decode()))
+            held += len(part)
     if block:
         yield block
 
 
+def vocabulary_blocks(benchmark: DataFrame, text_col: str, most: int = BLOCK_WORDS) -> Iterator[set[bytes]]:
+    """The different words of a benchmark in sets of about ``most``, dealt by hash."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {w for text in batch.column(0).to_pylist() for w in words_of(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["word"])
+
+    words = benchmark.select(text_col).mapInArrow(distinct, "word binary").distinct()
+    blocks = max(1, -(-words.count() // most))
+    for k in range(blocks):
+        yield {bytes(r["word"]) for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).collect()}
+
+
 def word_rarity(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> dict[bytes, int]:
     """In how many documents each word of a block occurs; at most as many numbers as it has words."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
@@ -155,7 +178,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     size: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """(id, n_words, ranges, items) of every row: hit ranges of words, and items, sorted as strings.
 
@@ -164,9 +187,11 @@ def contamination(
     text = F.col(text_col).alias("_text")
     rows = docs.select(F.col(id_col), text).selectExpr("*", "0L AS n_words", *NONE)
     empty = True
-    for block in blocks_of(benchmark, item_col, item_text_col, block_bytes):
-        vocabulary = {w for _, item in block for w in words_of(item)}
-        index = filed(block, word_rarity(docs, vocabulary, text_col), size)
+    rarity: dict[bytes, int] = {}
+    for vocabulary in vocabulary_blocks(benchmark, item_text_col):
+        rarity |= word_rarity(docs, vocabulary, text_col)
+    for block in blocks_of(benchmark, item_col, item_text_col, block_windows, size):
+        index = filed(block, rarity, size)
         rows, empty = add_hits(rows, index), False
     if empty:
         rows = add_hits(rows, {})

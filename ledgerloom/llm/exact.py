@@ -33,6 +33,8 @@ WINDOW_BYTES = 32 << 20
 BUCKET_BYTES = 96 << 20
 FANOUT_BITS = 4
 DEEPEST = 64 // FANOUT_BITS
+# What a row's id takes in memory, about.
+ROW_BYTES = 64
 
 
 class OpenTable:
@@ -77,26 +79,36 @@ def resolve(
 ) -> Iterator[tuple[bytes, object]]:
     """(name of the text, what came with the row) for (hash, text, what comes with it).
 
-    Rows get one name exactly when their texts are equal. Beyond ``bucket_bytes`` of
-    different texts the rows go to spill files under ``spill`` by the hash's digits at
+    Rows get one name exactly when their texts are equal. What came with them is handed on
+    whenever it takes ``bucket_bytes`` itself, so one text may have any number of rows. Beyond
+    ``bucket_bytes`` of different texts the rows go to spill files under ``spill`` by the hash's digits at
     ``depth``.
     """
-    table, waiting = OpenTable(), []
-    rows = iter(rows)
-    for hashed, text, extra in rows:
-        waiting.append((table.place(hashed, text), extra))
-        if table.bytes > bucket_bytes and len(table.texts) > 1 and depth < DEEPEST:
-            break
-    else:
-        names: list[bytes] = []
-        seen: dict[bytes, int] = {}
-        for text in table.texts:
+    table, waiting, held = OpenTable(), [], 0
+    names: list[bytes] = []
+    seen: dict[bytes, int] = {}
+
+    def named() -> Iterator[tuple[bytes, object]]:
+        for text in table.texts[len(names) :]:
             sha = hashlib.sha256(text).digest()
             # Different texts never share a name, even if they shared a digest.
             again = seen[sha] = seen.get(sha, -1) + 1
             names.append(sha + again.to_bytes(2, "big") if again else sha)
         for n, extra in waiting:
             yield names[n], extra
+
+    rows = iter(rows)
+    for hashed, text, extra in rows:
+        waiting.append((table.place(hashed, text), extra))
+        held += ROW_BYTES * (1 + (len(extra) if isinstance(extra, list) else 0))
+        if table.bytes > bucket_bytes and len(table.texts) > 1 and depth < DEEPEST:
+            break
+        if held > bucket_bytes:
+            # Rows of known texts need not wait: a name follows from its text.
+            yield from named()
+            waiting, held = [], 0
+    else:
+        yield from named()
         return
     fs, folder = file_system(f"{spill}/{depth}-{uuid.uuid4().hex}")
     fs.create_dir(folder, recursive=True)
@@ -140,7 +152,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, window_bytes: int = WIN
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        table, ids = OpenTable(), []
+        table, ids, held = OpenTable(), [], 0
 
         def flush(id_type):
             hashes = np.array(table.hashes, np.uint64).view(np.int64)
@@ -157,9 +169,10 @@ def windows(docs: DataFrame, id_col: str, text_col: str, window_bytes: int = WIN
                 if n == len(ids):
                     ids.append([])
                 ids[n].append(row_id)
-                if table.bytes > window_bytes:
+                held += ROW_BYTES
+                if table.bytes + held > window_bytes:
                     yield flush(id_type)
-                    table, ids = OpenTable(), []
+                    table, ids, held = OpenTable(), [], 0
         if ids:
             yield flush(id_type)
 

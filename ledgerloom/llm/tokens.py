@@ -48,6 +48,7 @@ class PieceEncoder:
         self.chars = {ord(c): self._mapped(c) for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c)}
         self.cased = self._mapped("A") == "A"
         self.blank = self.chars[ord(" ")] = self._mapped(" a")[:-1]
+        self.sizes: dict[str, int] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -132,12 +133,16 @@ class PieceEncoder:
             return self._whole(text)
         if len(self.known) > MOST_KEPT:
             self.older, self.known = self.known, {}
+        return self._pieces(self._split(text))
+
+    def _split(self, text: str) -> list[str]:
+        """Pieces of a text whose ids, in a row, are the text's."""
         if PLAIN.search(text) is not None:
-            return self._pieces(self.pieces.findall(text))
+            return self.pieces.findall(text)
         if not self.spaced:
-            return self._pieces(text.split())
+            return text.split()
         first, *rest = text.split(" ")
-        return self._pieces(self.pieces.findall(first)) + self._pieces([" " + w for w in rest])
+        return [*self.pieces.findall(first), *[" " + w for w in rest]]
 
     def _pieces(self, pieces: list[str]) -> bytes:
         known = self.known
@@ -149,8 +154,20 @@ class PieceEncoder:
         return b"".join([learnt[p] if x is None else x for p, x in zip(pieces, ids)])
 
     def lengths(self, texts: list[str]) -> list[int]:
-        """How many ids each text of a batch has."""
-        return [len(self.encode(t)) // 4 for t in texts]
+        """How many ids each text of a batch has; pieces new to the worker are encoded once for all texts."""
+        if len(self.sizes) > MOST_KEPT:
+            self.sizes = {}
+        if len(self.known) > MOST_KEPT:
+            self.older, self.known = self.known, {}
+        whole = [any(s in t for s in self.specials) for t in texts]
+        pieces = [[] if w else self._split(t) for t, w in zip(texts, whole)]
+        sizes = self.sizes
+        fresh = set().union(*pieces).difference(sizes)
+        learnt = {p: len(ids) // 4 for p, ids in self._learn(list(fresh)).items()}
+        sizes.update((p, n) for p, n in learnt.items() if len(p) <= LONGEST_KEPT)
+        # Long pieces are known for this batch only.
+        known = sizes if len(learnt) == sum(len(p) <= LONGEST_KEPT for p in learnt) else {**learnt, **sizes}
+        return [len(self._whole(t)) // 4 if w else sum(map(known.__getitem__, p)) for t, w, p in zip(texts, whole, pieces)]
 
     def slices(self, text: str, most: int) -> Iterator[str]:
         """Parts of about ``most`` characters, cut only where white space begins after other text."""

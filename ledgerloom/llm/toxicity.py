@@ -39,10 +39,9 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser")
 SHORTEST, LONGEST = 4, 12
 LEAST_TEXTS = 3
-LEAST_WEIGHT = 0.5
-# Of the heaviest pattern's weight; what weighs less is as likely a chance find.
-LEAST_SHARE = 0.4
-MOST_PATTERNS = 20_000
+LEAST_WEIGHT = 1.5
+# Errors below its log odds at which a weight is taken.
+ERRORS = 1.64
 TRAIN_ROWS = 200_000
 WORD = re.compile(r"[^\W_]+")
 _TABLE = str.maketrans(LOOKALIKES)
@@ -131,7 +130,7 @@ def _terms(text: str) -> set[str]:
     """Folded words (with an end mark) and their beginnings."""
     out = set()
     for word in set(WORD.findall(fold(text))):
-        out.add(f"{word[:40]} ")
+        out.add(f"{word} ")
         out.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
     return out
 
@@ -163,8 +162,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, toxic: int, other: int) -> dict[str, float]:
-    """Patterns and weights; at most ``MOST_PATTERNS``, the heaviest.
+    """Patterns and weights: all whose weight is ``LEAST_WEIGHT`` or more, whatever others weigh.
 
+    Every one is in several toxic texts of the bounded training sample, which bounds their number.
     A pattern that a shorter beginning explains as well is left out.
     """
     if not toxic or not other:
@@ -174,17 +174,13 @@ def lexicon(counts: DataFrame, toxic: int, other: int) -> dict[str, float]:
     error = F.sqrt(1 / a + 1 / b)
     found = (
         counts.filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") * other > F.col("other") * toxic))
-        .withColumn("weight", odds - 1.64 * error)
+        .withColumn("weight", odds - ERRORS * error)
         .filter(F.col("weight") >= LEAST_WEIGHT)
         # Shares above one half only: what most texts with the pattern are not is no evidence.
         .filter(F.col("toxic") > F.col("other"))
-        .orderBy(F.desc("weight"), "term")
-        .limit(MOST_PATTERNS)
         .select("term", "weight", "toxic")
     )
     rows = {r["term"]: (r["weight"], r["toxic"]) for r in found.collect()}
-    least = LEAST_SHARE * max((w for w, _ in rows.values()), default=0.0)
-    rows = {t: r for t, r in rows.items() if r[0] >= least}
     # Of nested patterns with the same toxic texts the longest stands for all: the whole
     # word where it is always that word, else the beginning its forms share.
     longer: dict[str, int] = {}
@@ -224,8 +220,9 @@ def fit(texts: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, train_rows:
     rows = texts.filter("label IN (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"))
     total = rows.count()
     if total > train_rows:
-        rows = rows.filter(F.rand(7) < train_rows / total)
-    rows = written(rows, "toxicity-training")
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * train_rows / total))
+    # Copies of one text are no further evidence.
+    rows = written(rows.dropDuplicates(["text", "label"]), "toxicity-training")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = lexicon(term_counts(rows), sizes.get(1, 0), sizes.get(0, 0))
     scorer_model = Model(weights, 0.0, (0.0, 0.0, 0.0), exceptions)

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import components, exact, simhash
 from ledgerloom.llm.store import fresh_folder
@@ -137,3 +138,25 @@ def test_open_table_compares_complete_texts():
     numbers = [table.place(7, t) for t in (b"a", b"b", b"a", b"c", b"b")]
     assert numbers == [0, 1, 0, 2, 1]
     assert [table.place(7, t) for t in (b"c", b"d")] == [2, 3]
+
+
+def test_rows_of_one_text_do_not_wait_for_the_end(tmp_path):
+    read = 0
+
+    def rows():
+        nonlocal read
+        for k in range(20_000):
+            read += 1
+            yield 7, b"the same text", [k]
+
+    found = exact.resolve(rows(), 10_000, str(tmp_path))
+    name, ids = next(found)
+    assert ids == [0] and read < 200
+    rest = list(found)
+    assert {n for n, _ in rest} == {name} and [i for _, some in rest for i in some] == list(range(1, 20_000))
+
+
+def test_ids_fill_a_window_too(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text")).coalesce(1)
+    seen = exact.windows(docs, "doc_id", "text", window_bytes=64_000).collect()
+    assert len(seen) >= 5 and sum(len(r["ids"]) for r in seen) == 5000

@@ -172,3 +172,11 @@ def test_patterns_fill_a_sequence():
     assert set(map(tuple, found.tolist())) == {
         (a, b, 12 - a - b) for a in range(13) for b in range(a, 13) if b <= 12 - a - b and (a == 0 or b > 0) and 12 - a - b > 0
     }
+
+
+def test_batch_lengths_are_those_of_single_texts(documents):
+    texts = [r["text"] or "" for r in documents.limit(80).collect()] + ["", " ", "a <|endoftext|> b", "x" * 300, "Ünïcödé  straße", "\n\n"]
+    for path in (WORD, BYTE):
+        enc = PieceEncoder(path)
+        want = [len(enc.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert enc.lengths(texts) == want and enc.lengths(texts[::-1]) == want[::-1]
