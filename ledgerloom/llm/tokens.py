@@ -26,7 +26,7 @@ TAIL = ".,;:!?*$#%&|"
 # Letters that normalisation maps one to one.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 LONGEST_KEPT = 64
-MOST_KEPT = 450_000
+MOST_KEPT = 600_000
 JOINED = 2_000
 FORMATS = [f"<{n}I" for n in range(40)]
 
@@ -84,23 +84,23 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are not in ``known``."""
-        known, older, plain = self.known, self.older, self.plain
+        known, older, plain, spaced, word = self.known, self.older, self.plain, self.spaced, self._word
         out, odd = {}, []
         for p in pieces:
-            ids = older.get(p)
-            if ids is None:
-                core = p.rstrip(TAIL)
-                bare = core[1:] if self.spaced and core[:1] == " " else core
-                if not (bare.isascii() and bare.isalpha() or plain(core)):
-                    odd.append(p)
-                    continue
-                ids = known.get(core) or older.get(core)
-                if ids is None:
-                    ids = self._word(core)
-                if len(core) < len(p):
-                    known[core] = ids
-                    ids += self._tail(p[len(core) :])
-            out[p] = ids
+            core = p.rstrip(TAIL)
+            bare = core[1:] if spaced and core[:1] == " " else core
+            if bare.isascii() and bare.isalpha() or plain(core):
+                if len(core) == len(p):
+                    out[p] = word(p)
+                else:
+                    ids = known.get(core) or older.get(core)
+                    if ids is None:
+                        ids = known[core] = word(core)
+                    out[p] = ids + self._tail(p[len(core) :])
+            elif p in older:
+                out[p] = older[p]
+            else:
+                odd.append(p)
         runs = []
         for p in odd:
             if "\n" in p and len(parts := self.pieces.findall(p)) > 1:
@@ -145,12 +145,18 @@ class PieceEncoder:
         return [*self.pieces.findall(first), *[" " + w for w in rest]]
 
     def _pieces(self, pieces: list[str]) -> bytes:
-        known = self.known
+        known, older = self.known, self.older
         ids = list(map(known.get, pieces))
         if None not in ids:
             return b"".join(ids)
-        learnt = self._learn(list({p for p, x in zip(pieces, ids) if x is None}))
-        known.update((p, x) for p, x in learnt.items() if len(p) <= LONGEST_KEPT)
+        missing = {p for p, x in zip(pieces, ids) if x is None}
+        learnt = {p: older[p] for p in missing if p in older} if older else {}
+        if len(learnt) < len(missing):
+            learnt |= self._learn([p for p in missing if p not in learnt])
+        if len(max(learnt, key=len)) <= LONGEST_KEPT:
+            known.update(learnt)
+        else:
+            known.update((p, x) for p, x in learnt.items() if len(p) <= LONGEST_KEPT)
         return b"".join([learnt[p] if x is None else x for p, x in zip(pieces, ids)])
 
     def lengths(self, texts: list[str]) -> list[int]:
