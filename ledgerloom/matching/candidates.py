@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.functions.similarity import most_similar, sequence_ratio, word_jaccard
-from ledgerloom.matching.scoring import Deployed, Graded
+from ledgerloom.matching.scoring import ROW_COLUMNS, SIDE_COLUMNS, Deployed, Graded
 
 ALL = ("l_amount", "l_date", "l_vendor", "l_description")
 DATED = ("l_date", "l_vendor", "l_description")
@@ -99,7 +99,7 @@ def phase_edges(
         parts.append(
             pairs.select(
                 SID, "stmt", "led", "last", F.lit(str(block.ceiling)).alias("ceiling"),
-                *(f"{side}_{c}" for side in "sl" for c in ("amount", "date", "vendor", "description")),
+                *(f"{side}_{c}" for side in "sl" for c in SIDE_COLUMNS + ROW_COLUMNS),
             )
         )
     pairs = parts[0]
@@ -155,12 +155,13 @@ def _by_texts(statement: DataFrame, ledger: DataFrame, block: Block, plan: Plan,
     """
     texts = [SID, "s_vendor", "s_description"]
     unknown = {"s_amount": "double", "s_date": "date"}
-    classes = statement.select(*texts).distinct().withColumns({c: F.lit(None).cast(t) for c, t in unknown.items()})
+    classes = plan.profile.with_words(statement.select(*texts).distinct(), "s_")
+    classes = classes.withColumns({c: F.lit(None).cast(t) for c, t in unknown.items()})
     names = [SID, *(f"k{i}" for i in range(len(block.keys)))]
     rows = _keyed(_shown(ledger, block.group, shown, keep=("held",)), block, "l", plan)
     # A shared word may bring a pair more than once.
     met = _keyed(classes, block, "s", plan).join(rows, names).dropDuplicates([*texts, "led"])
-    rated = plan.profile.add_scores(met).drop(*unknown)
+    rated = plan.profile.add_scores(met).drop(*unknown, "s_words")
     own = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c != SID else F.col(c) == F.col(f"_{c}") for c in texts]
     order = Window.partitionBy(*texts, "held").orderBy(F.desc(_text_score(plan.profile)), "led")
     ranked = rated.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= shown)

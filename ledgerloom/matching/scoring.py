@@ -18,6 +18,8 @@ from ledgerloom.functions.similarity import most_similar, sequence_ratio, word_j
 from ledgerloom.operators.clean import prepare_for_matching
 
 SIDE_COLUMNS = ("amount", "date", "vendor", "description")
+# What a profile works out once per row for its pairs.
+ROW_COLUMNS = ("words",)
 
 # Tier limits shared by both profiles.
 HIGH = 0.85
@@ -55,7 +57,12 @@ class Deployed:
             n: text.upper_trim(_c(n)) if n in df.columns else F.lit(None).cast("string")
             for n in ("vendor", "description")
         }
-        return df.select("session_id", "txn_id", "amount", "date", *(c.alias(n) for n, c in names.items()))
+        ready = df.select("session_id", "txn_id", "amount", "date", *(c.alias(n) for n, c in names.items()))
+        return self.with_words(ready)
+
+    def with_words(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        """Adds the words of the vendor."""
+        return df.withColumn(f"{prefix}words", text.words(_c(f"{prefix}vendor")))
 
     def amount_score(self) -> Column:
         diff = F.abs(_c("s_amount") - _c("l_amount"))
@@ -76,7 +83,7 @@ class Deployed:
     def vendor_score(self) -> Column:
         same, part, word = self.vendor_points
         s, led = _c("s_vendor"), _c("l_vendor")
-        shared = F.arrays_overlap(text.words(s), text.words(led))
+        shared = F.arrays_overlap(_c("s_words"), _c("l_words"))
         return (
             F.when(s == led, same)
             .when(s.contains(led) | led.contains(s), part)
@@ -177,7 +184,11 @@ class Graded:
         for n in ("vendor", "description"):
             if n not in df.columns:
                 filled = filled.withColumn(n, F.lit(None).cast("string"))
-        return prepare_for_matching(filled, source).select("session_id", "txn_id", *SIDE_COLUMNS)
+        return self.with_words(prepare_for_matching(filled, source).select("session_id", "txn_id", *SIDE_COLUMNS))
+
+    def with_words(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        """Adds the word set of the vendor."""
+        return df.withColumn(f"{prefix}words", text.cleaned_words(_c(f"{prefix}vendor")))
 
     def amount_score(self) -> Column:
         diff = F.abs(_c("l_amount") - _c("s_amount"))
@@ -236,7 +247,7 @@ class Graded:
                 .when(led.contains(s) | s.contains(led), self.part_vendor),
             }
         )
-        words = F.when(_c("_plain").isNull(), word_jaccard(text.cleaned_words(led), text.cleaned_words(s)))
+        words = F.when(_c("_plain").isNull(), word_jaccard(_c("l_words"), _c("s_words")))
         parts = parts.withColumn("_words", words)
         most = F.coalesce("_plain", F.greatest(_c("_words"), most_similar(led, s)))
         parts = parts.withColumn("_most", most)

@@ -92,7 +92,7 @@ def prepared(ledger: DataFrame, statement: DataFrame, rules, amount_sign: str =
     def side(df: DataFrame, source: str, letter: str, key: str) -> DataFrame:
         if amount_sign == "absolute":
             df = df.withColumn("amount", F.abs("amount"))
-        names = {c: f"{letter}_{c}" for c in scoring.SIDE_COLUMNS} | {"txn_id": key}
+        names = {c: f"{letter}_{c}" for c in scoring.SIDE_COLUMNS + scoring.ROW_COLUMNS} | {"txn_id": key}
         ready = rules.prepare(df, source).withColumn("txn_id", F.col("txn_id").cast("long"))
         return ready.withColumnsRenamed(names)
 
