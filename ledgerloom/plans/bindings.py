@@ -56,6 +56,25 @@ def statement(rows: DataFrame) -> DataFrame:
     )
 
 
+def sparse_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """A ledger and statement with dates, vendors and descriptions missing, sessions on one side only,
+    and statement ids that are not those of the ledger.
+    """
+    rows = ledger(spark, folder)
+    t, sid = F.col("txn_id"), F.col("session_id")
+    led = rows.where(sid % 5 != 1).withColumns(
+        {
+            "date": F.when(t % 6 != 1, F.col("date")),
+            "vendor": F.when(t % 8 != 3, F.col("vendor")),
+            "description": F.when(t % 4 != 2, F.col("description")),
+        }
+    )
+    stm = statement(rows.where(sid % 5 != 3)).withColumns(
+        {"date": F.when(t % 9 != 4, F.col("date")), "amount": F.when(t % 10 != 7, F.col("amount")), "txn_id": 2 * t + 11}
+    )
+    return led, stm
+
+
 def dirty_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger as text, with the faults real files have."""
     t = F.col("txn_id")

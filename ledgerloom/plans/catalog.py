@@ -196,6 +196,26 @@ def reconcile_documents(spark, sf):
     return _run(spark, sf).documents()
 
 
+def reconcile_sparse(spark, sf):
+    return reconcile.reconcile(*bindings.sparse_sides(spark, sf)).matches.select(*MATCH_COLUMNS)
+
+
+def reconcile_sparse_unmatched(spark, sf):
+    rows = reconcile.reconcile(*bindings.sparse_sides(spark, sf)).unmatched()
+    return rows.select("session_id", "txn_id", "source", "date", "vendor", "amount", "description")
+
+
+def sparse_sessions(spark, sf):
+    """Sessions with rows on both sides, of ledgers and statements that lack some."""
+    return reconcile.sessions_with_both_sides(*bindings.sparse_sides(spark, sf))
+
+
+def vendor_from_description(spark, sf):
+    """A ledger without a vendor column takes vendors from its descriptions."""
+    rows = bindings.ledger(spark, sf).drop("vendor")
+    return clean.for_index(clean.vendor_default(rows)).select("txn_id", "vendor", "category", "description")
+
+
 def reconcile_graded(spark, sf):
     return _run(spark, sf, profile="graded").matches.select(*MATCH_COLUMNS)
 
@@ -421,6 +441,10 @@ QUERIES: dict[str, Query] = {
     "reconcile_metric_rows": reconcile_metric_rows,
     "reconcile_display": reconcile_display,
     "reconcile_documents": reconcile_documents,
+    "reconcile_sparse": reconcile_sparse,
+    "reconcile_sparse_unmatched": reconcile_sparse_unmatched,
+    "sparse_sessions": sparse_sessions,
+    "vendor_from_description": vendor_from_description,
     "reconcile_graded": reconcile_graded,
     "reconcilable_sessions": reconcilable_sessions,
     "index_texts": index_texts,

@@ -102,6 +102,22 @@ def _matching(sql: str, base: str = LEDGER, more: str = "") -> str:
     return f"WITH RECURSIVE {base}, {STATEMENT}, {SCORES.format(extra='')}, {SERIAL}{more} {sql}"
 
 
+SPARSE = f"""{LEDGER.replace("ledger AS", "full_ledger AS")},
+{STATEMENT.replace("statement AS", "full_statement AS").replace("FROM ledger", "FROM full_ledger")},
+ledger AS (
+  SELECT * REPLACE (CASE WHEN txn_id % 6 <> 1 THEN date END AS date, CASE WHEN txn_id % 8 <> 3 THEN vendor END AS vendor,
+                    CASE WHEN txn_id % 4 <> 2 THEN description END AS description)
+  FROM full_ledger WHERE session_id % 5 <> 1),
+statement AS (
+  SELECT * REPLACE (2 * txn_id + 11 AS txn_id, CASE WHEN txn_id % 9 <> 4 THEN date END AS date,
+                    CASE WHEN txn_id % 10 <> 7 THEN amount END AS amount)
+  FROM full_statement WHERE session_id % 5 <> 3)"""
+
+
+def _sparse(sql: str) -> str:
+    return f"WITH RECURSIVE {SPARSE}, {SCORES.format(extra='')}, {SERIAL} {sql}"
+
+
 def _near(sql: str, days: int) -> str:
     extra = f" AND abs(date_diff('day', l.date, s.date)) <= {days}"
     return f"WITH {LEDGER}, {STATEMENT}, {SCORES.format(extra=extra)} {sql}"
@@ -425,3 +441,12 @@ s AS (SELECT q.query_id, d.doc_id, round(list_cosine_similarity(d.v, q.v), 9) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id DESC) AS k FROM s)
 SELECT query_id, CAST(k AS INTEGER) AS rank, doc_id, round(similarity, 6) AS similarity FROM r WHERE k <= 5 AND similarity > 1e-1
 """
+ORACLES["reconcile_sparse"] = _sparse(MATCHES_OUT)
+ORACLES["reconcile_sparse_unmatched"] = _sparse("""
+  SELECT session_id, txn_id, 'Image (Unmatched)' AS source, date, vendor, amount, description FROM statement s
+  WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.session_id = s.session_id AND m.stmt = s.txn_id)
+  UNION ALL
+  SELECT session_id, txn_id, 'CSV (Unmatched)', date, vendor, amount, description FROM ledger l
+  WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.session_id = l.session_id AND m.led = l.txn_id)""")
+ORACLES["sparse_sessions"] = f"WITH {SPARSE} SELECT DISTINCT session_id FROM ledger WHERE session_id IN (SELECT session_id FROM statement)"
+ORACLES["vendor_from_description"] = _ledger("SELECT txn_id, description AS vendor, category, description FROM ledger")
