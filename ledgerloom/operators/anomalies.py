@@ -1,7 +1,8 @@
 """Deterministic anomaly rules over monthly series.
 
 The thresholds are parameters. Every window runs over aggregated rows (months,
-category-months or vendor-months), never over raw transactions.
+category-months or vendor-months), never over raw transactions. Rules on monthly
+series take ledger rows or their ``monthly.rollup``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values
+from ledgerloom.lineage import checkpoint
 from ledgerloom.operators import monthly
 from ledgerloom.operators.quantiles import exact_quantiles
 
@@ -32,18 +34,20 @@ def month_over_month(df: DataFrame, threshold: float = 0.20, keys=_NONE) -> Data
     )
 
 
-def new_vendors(df: DataFrame, keys=_NONE) -> DataFrame:
+def new_vendors(df: DataFrame, keys=_NONE, rolled: DataFrame | None = None) -> DataFrame:
     """Vendors seen for the first time after the ledger's first month.
 
     ``large`` tells whether one of the vendor's transactions in that month is
-    above the month's 95th percentile.
+    above the month's 95th percentile, which needs the ledger's rows; all else comes
+    from ``rolled`` where it is given.
     """
+    source = df if rolled is None else rolled
     keys = list(keys)
-    dated = monthly.with_month(df).where(F.col("month").isNotNull() & F.col("vendor").isNotNull())
+    dated = monthly.with_month(source).where(F.col("month").isNotNull() & F.col("vendor").isNotNull())
     stats = dated.groupBy(*keys, "vendor", "month").agg(
-        values.total(F.col("amount")).alias("_t"),
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.max("amount").alias("max_amount"),
+        monthly.spent(source).alias("_t"),
+        monthly.row_count(source).alias("transaction_count"),
+        monthly.largest(source).alias("max_amount"),
     )
     first = stats.groupBy(*keys, "vendor").agg(
         F.min("month").alias("month"), F.min_by(F.struct("_t", "transaction_count", "max_amount"), "month").alias("s")
@@ -107,7 +111,7 @@ def frequency_spikes(df: DataFrame, factor: float = 2.0, keys=_NONE) -> DataFram
         monthly.with_month(df)
         .where(F.col("vendor").isNotNull() & F.col("month").isNotNull())
         .groupBy(*keys, "vendor", "month")
-        .agg(F.count(F.lit(1)).alias("transaction_count"))
+        .agg(monthly.row_count(df).alias("transaction_count"))
     )
     w = Window.partitionBy(*keys, "vendor").orderBy("month").rowsBetween(-3, -1)
     out = counts.withColumns(
@@ -134,9 +138,15 @@ def seasonal_spikes(df: DataFrame, factor: float = 2.0, keys=_NONE) -> DataFrame
     return out.withColumn("is_anomaly", flag)
 
 
-def anomalies(df: DataFrame, keys=_NONE) -> DataFrame:
-    """All rules in long form: rule, month, subject, measured value and its reference value."""
+def anomalies(df: DataFrame, keys=_NONE, rolled: DataFrame | None = None) -> DataFrame:
+    """All rules in long form: rule, month, subject, measured value and its reference value.
+
+    The monthly series come from one rollup, made here unless a kept one is given; only
+    the quantiles read the ledger's rows again.
+    """
     keys = list(keys)
+    if rolled is None:
+        rolled = checkpoint(monthly.rollup(df, keys))
 
     def long(rule, rows, month, subject, value, expected):
         return rows.select(
@@ -149,12 +159,12 @@ def anomalies(df: DataFrame, keys=_NONE) -> DataFrame:
         )
 
     c = F.col
-    mom = month_over_month(df, keys=keys).where("is_anomaly")
-    new = new_vendors(df, keys=keys)
-    dev = category_deviation(df, keys=keys).where("is_anomaly")
+    mom = month_over_month(rolled, keys=keys).where("is_anomaly")
+    new = new_vendors(df, keys, rolled)
+    dev = category_deviation(rolled, keys=keys).where("is_anomaly")
     out = amount_outliers(df, keys=keys)
-    freq = frequency_spikes(df, keys=keys).where("is_anomaly")
-    season = seasonal_spikes(df, keys=keys).where("is_anomaly")
+    freq = frequency_spikes(rolled, keys=keys).where("is_anomaly")
+    season = seasonal_spikes(rolled, keys=keys).where("is_anomaly")
     parts = [
         long("month_over_month", mom, c("month"), values.month_text(c("month")), c("total_amount"), c("previous_amount")),
         long("new_vendor", new, c("month"), c("vendor"), c("total_amount"), F.lit(None)),
@@ -174,6 +184,6 @@ def _month_totals(df: DataFrame, keys) -> DataFrame:
         monthly.with_month(df)
         .where(F.col("month").isNotNull())
         .groupBy(*keys, "month")
-        .agg(values.total(F.col("amount")).alias("_t"))
+        .agg(monthly.spent(df).alias("_t"))
         .select(*keys, "month", values.as_double(F.col("_t")).alias("total_amount"))
     )

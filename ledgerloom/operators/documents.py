@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values
+from ledgerloom.lineage import checkpoint
 from ledgerloom.operators import monthly
 from ledgerloom.operators.ranking import spread_row_number
 
@@ -71,12 +72,14 @@ def transaction_documents(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def monthly_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Statistics of each month plus its breakdowns as maps.
+    """Statistics of each month plus its breakdowns as maps, all from one rollup.
 
-    A map holds one entry per category, top-10 vendor, top-5 vendor or day, so
+    ``df`` holds ledger rows or their ``monthly.rollup``. A map holds one entry per category, top-10 vendor, top-5 vendor or day, so
     its size follows the number of names and never the number of rows.
     """
     group = [*keys, "month"]
+    if monthly.SPENT not in df.columns:
+        df = checkpoint(monthly.rollup(df, keys))
     stats = monthly.monthly_stats(df, keys)
     best = monthly.month_top_category(df, keys)
     parts = {

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, values
-from ledgerloom.operators import clean, documents, monthly, summary
+from ledgerloom.operators import anomalies, clean, documents, monthly, summary
 from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.operators.ranking import spread_row_number
 from ledgerloom.plans import analysis
@@ -206,3 +206,27 @@ def test_session_versions_share_buckets(spark, tmp_path, monkeypatch):
     assert {(r.session_id, r.n) for r in store.read("ledger").collect()} == {("02", 3), ("1", 9), (None, 4)}
     assert [r.n for r in store.lookup("ledger", "1").collect()] == [9]
     assert store.lookup("ledger", "02").columns == ["session_id", "n", "created_at"]
+
+
+def _month_rows(spark, months):
+    rows = []
+    for k, month in enumerate(months):
+        for n in range(12 + 5 * (k % 3)):
+            vendor = ["Shell", "Cafe", "Depot", f"New {k}"][n % 4]
+            rows.append((dt.date(*month, 1 + n), vendor, 10.0 + n * (1 + k % 4) + (400 if n == 7 and k % 2 else 0), ["Fuel", "Food", None][n % 3], k * 100 + n))
+    return spark.createDataFrame(rows, "date date, vendor string, amount double, category string, txn_id long")
+
+
+def test_a_month_added_to_a_rollup_equals_the_whole(spark):
+    months = [(2023, 11), (2023, 12), (2024, 1), (2024, 2), (2024, 11)]
+    old, new = _month_rows(spark, months[:3]), _month_rows(spark, months).where("date >= '2024-02-01'")
+    whole = _month_rows(spark, months)
+    rolled = monthly.rollup(old).unionByName(monthly.rollup(new))
+    for op in (monthly.monthly_stats, monthly.month_category, monthly.month_vendor, monthly.month_top_category,
+               monthly.month_top_vendors, monthly.month_frequent_vendors, monthly.month_daily,
+               anomalies.month_over_month, anomalies.category_deviation, anomalies.frequency_spikes, anomalies.seasonal_spikes):
+        found, wanted = op(rolled), op(whole)
+        assert found.schema.simpleString() == wanted.schema.simpleString(), op.__name__
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())), op.__name__
+    kept = anomalies.anomalies(whole, rolled=rolled).collect()
+    assert kept and sorted(map(str, kept)) == sorted(map(str, anomalies.anomalies(whole).collect()))
