@@ -196,6 +196,11 @@ def reconcile_documents(spark, sf):
     return _run(spark, sf).documents()
 
 
+def reconcile_nested(spark, sf):
+    """Every session's result as one JSON document, in parts of four records."""
+    return _run(spark, sf).nested_documents(records_per_part=4)
+
+
 def reconcile_sparse(spark, sf):
     return reconcile.reconcile(*bindings.sparse_sides(spark, sf)).matches.select(*MATCH_COLUMNS)
 
@@ -441,6 +446,7 @@ QUERIES: dict[str, Query] = {
     "reconcile_metric_rows": reconcile_metric_rows,
     "reconcile_display": reconcile_display,
     "reconcile_documents": reconcile_documents,
+    "reconcile_nested": reconcile_nested,
     "reconcile_sparse": reconcile_sparse,
     "reconcile_sparse_unmatched": reconcile_sparse_unmatched,
     "sparse_sessions": sparse_sessions,

@@ -450,3 +450,54 @@ ORACLES["reconcile_sparse_unmatched"] = _sparse("""
   WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.session_id = l.session_id AND m.led = l.txn_id)""")
 ORACLES["sparse_sessions"] = f"WITH {SPARSE} SELECT DISTINCT session_id FROM ledger WHERE session_id IN (SELECT session_id FROM statement)"
 ORACLES["vendor_from_description"] = _ledger("SELECT txn_id, description AS vendor, category, description FROM ledger")
+
+
+def _list_of(texts: str) -> str:
+    """The list form of a ``concat_ws`` of texts."""
+    return "list_filter([" + texts.removeprefix("concat_ws(', ',")[:-1] + "], lambda x: x IS NOT NULL)"
+
+
+def _record(row: str) -> str:
+    columns = ("session_id", "txn_id", "date", "vendor", "amount") + (("category",) if row == "l" else ()) + ("description",)
+    return "{" + ", ".join(f"'{c}': {row}.{c}" for c in columns) + "}"
+
+
+def _statement_text(row: str, columns: str) -> str:
+    return "CAST(to_json({" + ", ".join(f"'{c}': {row}.{c}" for c in columns.split()) + "}) AS VARCHAR)"
+
+
+def nested_doc(records_per_part: int) -> str:
+    measures = """total_image_transactions total_csv_transactions total_matches match_rate high_confidence_matches
+      medium_confidence_matches low_confidence_matches unmatched_image_transactions unmatched_csv_transactions
+      total_image_amount total_matched_amount reconciliation_percentage"""
+    return _matching(
+        f"""SELECT session_id, CAST(0 AS INTEGER) AS list, CAST(0 AS BIGINT) AS part,
+          '{{"status":"success","summary":' || {_statement_text("summary", measures)} AS body FROM summary
+        UNION ALL
+        SELECT session_id, k.list, coalesce(part, 0), CASE WHEN coalesce(part, 0) = 0 THEN k.opening ELSE ',' END || coalesce(body, '')
+        FROM summary CROSS JOIN lists k LEFT JOIN parts USING (session_id, list)
+        UNION ALL SELECT session_id, 6, 0, ']}}}}' FROM summary""",
+        more=f""", {SUMMARY}, records AS (
+          SELECT m.session_id, CASE tier WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS list, m.stmt AS key,
+            CAST(to_json({{'statement_txn_id': m.stmt, 'ledger_txn_id': m.led, 'amount_score': a, 'date_score': d, 'vendor_score': v,
+              'description_score': e, 'confidence_score': confidence_score, 'match_type': match_type, 'tier': tier,
+              'match_reasons': {_list_of(REASONS)}, 'discrepancies': {_list_of(DISCREPANCIES)}, 'recommendation': {RECOMMEND},
+              'ledger_transaction': {_record("l")}, 'statement_transaction': {_record("s")}}}) AS VARCHAR) AS body
+          FROM matches m JOIN ledger l ON l.session_id = m.session_id AND l.txn_id = m.led
+          JOIN statement s ON s.session_id = m.session_id AND s.txn_id = m.stmt
+          UNION ALL
+          SELECT session_id, 4, txn_id, {_statement_text("s", "txn_id date vendor amount description")} FROM statement s
+          WHERE (session_id, txn_id) NOT IN (SELECT (session_id, stmt) FROM matches)
+          UNION ALL
+          SELECT session_id, 5, txn_id, {_statement_text("l", "txn_id date vendor amount category description")} FROM ledger l
+          WHERE (session_id, txn_id) NOT IN (SELECT (session_id, led) FROM matches)),
+        parts AS (
+          SELECT session_id, list, part, string_agg(body, ',' ORDER BY key) AS body
+          FROM (SELECT *, (row_number() OVER (PARTITION BY session_id, list ORDER BY key) - 1) // {records_per_part} AS part FROM records)
+          GROUP BY 1, 2, 3),
+        lists AS (SELECT * FROM (VALUES (1, ',"matches":{{"high_confidence":['), (2, '],"medium_confidence":['), (3, '],"low_confidence":['),
+          (4, ']}},"unmatched":{{"image_transactions":['), (5, '],"csv_transactions":[')) t(list, opening))""",
+    )
+
+
+ORACLES["reconcile_nested"] = nested_doc(4)

@@ -12,6 +12,7 @@ from ledgerloom.lineage import checkpoint
 from ledgerloom.matching import candidates as cand
 from ledgerloom.matching import scoring
 from ledgerloom.matching.assign import empty_held, settle, settle_small
+from ledgerloom.operators.ranking import spread_row_number
 
 SID = "session_id"
 # A session with more pairs than this is blocked instead of paired row by row.
@@ -65,6 +66,9 @@ class Reconciliation:
     def documents(self) -> DataFrame:
         return result_documents(self)
 
+    def nested_documents(self, records_per_part: int | None = None) -> DataFrame:
+        return nested_documents(self, records_per_part or RECORDS_PER_PART)
+
 
 def reconcile(
     ledger: DataFrame,
@@ -383,5 +387,66 @@ def result_documents(result: Reconciliation) -> DataFrame:
     return out
 
 
+# Records in one part of a nested document.
+RECORDS_PER_PART = 1000
+_SLOTS = 64
+# The lists of a nested document, in order, and what stands before each.
+LISTS = [
+    ("matches.high_confidence", ',"matches":{"high_confidence":['),
+    ("matches.medium_confidence", '],"medium_confidence":['),
+    ("matches.low_confidence", '],"low_confidence":['),
+    ("unmatched.image_transactions", ']},"unmatched":{"image_transactions":['),
+    ("unmatched.csv_transactions", '],"csv_transactions":['),
+]
+
+
+def nested_documents(result: Reconciliation, records_per_part: int = RECORDS_PER_PART) -> DataFrame:
+    """One JSON document per session, in parts that concatenate: session_id, list, part, body.
+
+    The bodies of a session, joined in the order of ``list`` and ``part``, are the document:
+    status, summary, matches by tier, and rows without a partner. A part holds at most
+    ``records_per_part`` records, so no task ever holds a large session's document. The
+    summary is list 0 and the end of the document the last list; an empty list has one
+    part without records. Lists are in the order of the statement's ids, or the ledger's for its own rows.
+    """
+    matches = result.detailed()
+    records = _listed(matches, F.concat(F.lit("matches."), F.col("tier"), F.lit("_confidence")), "statement_txn_id")
+    for rows, name in ((result.unmatched_statement, LISTS[3][0]), (result.unmatched_ledger, LISTS[4][0])):
+        records = records.unionByName(_listed(rows, F.lit(name), "txn_id"))
+    records = checkpoint(records)
+    # Slots hold about equally many records of all sessions, however the ids are spread.
+    marks = records.agg(F.percentile_approx("key", [k / _SLOTS for k in range(1, _SLOTS)])).scalar()
+    slot = F.size(F.filter(F.coalesce("_marks", F.expr("array()")), lambda m: m < F.col("key")))
+    ranked = spread_row_number(records.withColumn("_marks", marks), [SID, "name"], F.struct("key", "body"), slot, "rank")
+    parts = (
+        ranked.select(SID, "name", F.floor((F.col("rank") - 1) / records_per_part).alias("part"), F.struct("rank", "body").alias("r"))
+        .groupBy(SID, "name", "part")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["body"]), ",").alias("lines"))
+    )
+    summaries = checkpoint(result.summary())
+    lists = F.array(
+        *(F.struct(F.lit(k).alias("list"), F.lit(n).alias("name"), F.lit(o).alias("opening")) for k, (n, o) in enumerate(LISTS, 1))
+    )
+    body = F.concat(
+        F.when(F.coalesce("part", F.lit(0)) == 0, F.col("opening")).otherwise(","), F.coalesce("lines", F.lit(""))
+    )
+    nested = summaries.select(SID, F.inline(lists)).join(parts, [SID, "name"], "left")
+    edge = lambda k, text: summaries.select(SID, F.lit(k).alias("list"), F.lit(0).cast("long").alias("part"), text.alias("body"))
+    return (
+        edge(0, F.concat(F.lit('{"status":"success","summary":'), _json(summaries)))
+        .unionByName(nested.select(SID, "list", F.coalesce("part", F.lit(0)).alias("part"), body.alias("body")))
+        .unionByName(edge(len(LISTS) + 1, F.lit("]}}")))
+    )
+
+
+def _json(df: DataFrame) -> Column:
+    """A row without its session as JSON, nulls written out."""
+    return F.to_json(F.struct(*[c for c in df.columns if c != SID]), {"ignoreNullFields": "false"})
+
+
+def _listed(df: DataFrame, name: Column, key: str) -> DataFrame:
+    return df.select(SID, name.alias("name"), F.col(key).cast("long").alias("key"), _json(df).alias("body"))
+
+
 def _optional(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string").alias(name)

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 
 import oracle_matching as plain
@@ -214,3 +215,24 @@ def test_graded_reasons_word_days_with_time(spark):
     rows = {r.statement_txn_id: r for r in rec.reconcile(led, stm, "graded").matches.collect()}
     assert "Date match: 2024-01-15 00:00:00 ≈ 2024-01-15 00:00:00" in rows[1].match_reasons
     assert "Date difference: None vs 2024-01-18 00:00:00" in rows[2].discrepancies
+
+
+@pytest.mark.parametrize("per_part", [1, 2, 1000])
+def test_parts_concatenate_to_one_document(spark, per_part):
+    *_, led, stm = _case(spark, 5, 3, 12, 9)
+    only = spark.createDataFrame([("alone", 1, day("2024-01-01"), "Shell \"x\"", 2.0, None)], SCHEMA)
+    result = rec.reconcile(led.unionByName(only), stm)
+    parts = sorted(map(tuple, result.nested_documents(per_part).select("session_id", "list", "part", "body").collect()))
+    assert len({p[:3] for p in parts}) == len(parts)
+    summary = {r.session_id: r for r in result.summary().collect()}
+    matches = result.matches.collect()
+    assert set(summary) == {p[0] for p in parts} and "alone" in summary
+    for sid, one in summary.items():
+        doc = json.loads("".join(p[3] for p in parts if p[0] == sid))
+        assert doc["summary"] == {k: v for k, v in one.asDict().items() if k != "session_id"}
+        for tier in ("high", "medium", "low"):
+            found = [m["statement_txn_id"] for m in doc["matches"][f"{tier}_confidence"]]
+            assert found == sorted(m.statement_txn_id for m in matches if m.session_id == sid and m.tier == tier)
+        assert len(doc["unmatched"]["image_transactions"]) == one.unmatched_image_transactions
+        assert len(doc["unmatched"]["csv_transactions"]) == one.unmatched_csv_transactions
+    assert max(p[3].count('"txn_id"') for p in parts) <= 2 * per_part
