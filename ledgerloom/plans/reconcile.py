@@ -12,11 +12,14 @@ from ledgerloom.lineage import checkpoint
 from ledgerloom.matching import candidates as cand
 from ledgerloom.matching import scoring
 from ledgerloom.matching.assign import empty_held, settle, settle_small
+from ledgerloom.matching.whole import can_settle, settle_whole
 from ledgerloom.operators.ranking import spread_row_number
 
 SID = "session_id"
 # A session with more pairs than this is blocked instead of paired row by row.
 SMALL_SESSION_PAIRS = 16_384
+# Up to so many times as many pairs, a session is settled row by row in one task: 65,536 rows a side.
+WHOLE_SESSION_SHARE = 2**18
 # Rows of one look-alike group shown to a phase before a statement row must ask again.
 ROWS_SHOWN = 64
 
@@ -108,20 +111,27 @@ def assign(led: DataFrame, stm: DataFrame, rules, small_pairs: int, rows_shown:
     large = large_sessions(led, stm, small_pairs)
     if large.isEmpty():
         return _assign_small(led, stm, rules)
-    small = _assign_small(led.join(large, SID, "left_anti"), stm.join(large, SID, "left_anti"), rules)
+    out = _assign_small(led.join(large, SID, "left_anti"), stm.join(large, SID, "left_anti"), rules)
+    if can_settle(led, stm, rules):
+        whole = large.where(F.col("pairs") <= small_pairs * WHOLE_SESSION_SHARE)
+        out = out.unionByName(checkpoint(settle_whole(led.join(whole, SID, "left_semi"), stm.join(whole, SID, "left_semi"), rules)))
+        large = large.join(whole, SID, "left_anti")
+        if large.isEmpty():
+            return out
     big = _assign_large(
         checkpoint(led.join(large, SID, "left_semi")),
         checkpoint(stm.join(large, SID, "left_semi")),
         rules,
         rows_shown,
     )
-    return small.unionByName(big)
+    return out.unionByName(big)
 
 
 def large_sessions(led: DataFrame, stm: DataFrame, small_pairs: int) -> DataFrame:
     """Sessions with more row pairs than may be compared one by one."""
     n_led, n_stm = (df.groupBy(SID).agg(F.count(F.lit(1)).alias(n)) for df, n in ((led, "nl"), (stm, "ns")))
-    return checkpoint(n_led.join(n_stm, SID).where(F.col("nl") * F.col("ns") > small_pairs).select(SID))
+    pairs = n_led.join(n_stm, SID).select(SID, (F.col("nl") * F.col("ns")).alias("pairs"))
+    return checkpoint(pairs.where(F.col("pairs") > small_pairs))
 
 
 def _with_dictionaries(rules, led: DataFrame, stm: DataFrame) -> cand.Plan:
