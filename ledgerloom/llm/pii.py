@@ -8,7 +8,7 @@ passes its check is a base span and always stays.
 No labels of personal data are given, so a candidate teaches as positive if its own text is a base
 match that passes the check, or if a base span of its kind holds it, else as negative. Its features
 are its format and its context, never the check. One model of boosted trees per kind is fitted on the counts of equal
-feature rows of a bounded sample and becomes a SQL expression. The threshold is the smallest score
+feature rows of all candidates and becomes a SQL expression. The threshold is the smallest score
 from which on candidates of held-out texts are positive with a precision of ``PRECISION``. Candidates that reach it and meet no base span are added; overlapping ones of
 a kind are joined.
 
@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone")
-# Candidates that may teach, at most about; chosen by the hash of their text.
-TRAIN_CANDIDATES = 200_000
 PRECISION = 0.9
 ROUNDS, DEPTH, RATE, SMOOTH = 24, 3, 0.3, 1.0
 # Candidates a leaf must hold, so that single oddities make none.
@@ -299,20 +297,21 @@ def threshold(score: np.ndarray, n: np.ndarray, positive: np.ndarray, precision:
     return min(least, max(lower + 1e-6, float(np.log(precision / (1 - precision))))) - 1e-9
 
 
-def fit(spans: DataFrame, train_candidates: int = TRAIN_CANDIDATES) -> Model:
-    """Learn from at most about ``train_candidates`` candidates, all those of texts chosen by hash.
+def fit(spans: DataFrame) -> Model:
+    """Learn from every candidate: the models from those of four fifths of the texts, the thresholds from the rest.
 
-    Equal feature rows are counted on Spark; a fifth of the texts is held out for the threshold.
+    Equal feature rows are counted on Spark; what comes to the driver are their counts, as Arrow columns.
     """
-    total = spans.count()
-    part = F.pmod(F.xxhash64("_digest"), F.lit(1_000_000))
-    some = spans if total <= train_candidates else spans.filter(part < int(1_000_000 * train_candidates / total))
-    fold = (F.pmod(F.xxhash64("_digest", F.lit("fold")), F.lit(5)) == 0).alias("held_out")
-    counted = some.groupBy("kind", fold, *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("held").cast("int")).alias("positive"))
-    rows = sorted(tuple(r) for r in counted.collect())
+    fold = (F.pmod(F.xxhash64("_digest", F.lit("fold")), F.lit(5)) == 0).cast("int").alias("held_out")
+    counts = (F.count(F.lit(1)).alias("n"), F.sum(F.col("held").cast("long")).alias("positive"))
+    counted = spans.groupBy("kind", fold, *FEATURES).agg(*counts).toArrow()
+    kinds = counted["kind"].to_numpy()
+    numbers = [counted[c].to_numpy() for c in ("held_out", *FEATURES, "n", "positive")]
     trees, least = {}, {}
     for kind in KINDS:
-        seen = np.array([r[1:] for r in rows if r[0] == kind], np.int64).reshape(-1, len(FEATURES) + 3)
+        seen = np.column_stack([c[kinds == kind] for c in numbers])
+        # In one order, whatever task a row came from.
+        seen = seen[np.lexsort(seen.T[::-1])]
         out = seen[:, 0] == 1
         x, n, positive = seen[:, 1:-2], seen[:, -2].astype(float), seen[:, -1].astype(float)
         if not positive[~out].sum():

@@ -149,3 +149,24 @@ def test_texts_are_redacted(spark):
     )
     found = [r[0] for r in rows.select(pii.redacted(F.col("text"), F.col("spans"))).collect()]
     assert found == ["é[EMAIL], [PHONE]!", "[CARD]b", ""]
+
+
+def test_the_model_counts_every_candidate(spark):
+    # Digits alone tell sound candidates from others; only a few texts hold the sound ones.
+    rows = spark.range(210_000).select(
+        F.col("id").alias("_id"),
+        F.md5(F.col("id").cast("string")).alias("_digest"),
+        F.lit("phone").alias("kind"),
+        (F.col("id") % 3000 == 7).alias("held"),
+        *(F.when(F.col("id") % 3000 == 7, 9 if n == "digits" else 0).otherwise(0).alias(n) for n in pii.FEATURES),
+    )
+    seen = []
+    boost, threshold = pii.boost, pii.threshold
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "boost", lambda x, n, positive: seen.append((n.sum(), positive.sum())) or boost(x, n, positive))
+        patch.setattr(pii, "threshold", lambda score, n, positive: seen.append((n.sum(), positive.sum())) or threshold(score, n, positive))
+        model = pii.fit(rows)
+    # Those of four fifths of the texts teach, the others set the threshold.
+    assert len(seen) == 2 and np.sum(seen, axis=0).tolist() == [210_000, 70]
+    chosen = rows.filter(model.chosen())
+    assert chosen.count() == chosen.filter("held").count() == 70
