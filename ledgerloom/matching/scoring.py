@@ -262,7 +262,9 @@ class Graded:
         parts = parts.withColumns(
             {"_vr": sequence_ratio(ask_vendor, led, s), "_er": sequence_ratio(open_text, ld, sd)}
         )
-        overlap = word_overlap(text.cleaned_words(ld), text.cleaned_words(sd))
+        # Different descriptions of one word each share none, which is seen without splitting them.
+        single = ~(ld.contains(" ") | sd.contains(" "))
+        overlap = F.when(single, 0.0).otherwise(word_overlap(text.cleaned_words(ld), text.cleaned_words(sd)))
         described = (
             F.when(~_both_filled(ld, sd), 0.0)
             .when(ld == sd, 1.0)
