@@ -437,14 +437,17 @@ def nested_documents(result: Reconciliation, records_per_part: int = RECORDS_PER
     lists = F.array(
         *(F.struct(F.lit(k).alias("list"), F.lit(n).alias("name"), F.lit(o).alias("opening")) for k, (n, o) in enumerate(LISTS, 1))
     )
-    body = F.concat(
-        F.when(F.coalesce("part", F.lit(0)) == 0, F.col("opening")).otherwise(","), F.coalesce("lines", F.lit(""))
-    )
-    nested = summaries.select(SID, F.inline(lists)).join(parts, [SID, "name"], "left")
+    # A part knows its list's opening, so only empty lists are looked up, by names alone.
+    listed = summaries.select(SID, F.inline(lists))
+    empty = listed.join(records.select(SID, "name").distinct(), [SID, "name"], "left_anti")
+    which = lambda c: F.filter(lists, lambda x: x["name"] == F.col("name"))[0][c]
+    body = F.concat(F.when(F.col("part") == 0, which("opening")).otherwise(","), F.coalesce("lines", F.lit("")))
+    filled = parts.where(F.col(SID).isNotNull()).select(SID, which("list").alias("list"), "part", body.alias("body"))
+    nested = filled.unionByName(empty.select(SID, "list", F.lit(0).cast("long").alias("part"), F.col("opening").alias("body")))
     edge = lambda k, text: summaries.select(SID, F.lit(k).alias("list"), F.lit(0).cast("long").alias("part"), text.alias("body"))
     return (
         edge(0, F.concat(F.lit('{"status":"success","summary":'), _json(summaries)))
-        .unionByName(nested.select(SID, "list", F.coalesce("part", F.lit(0)).alias("part"), body.alias("body")))
+        .unionByName(nested)
         .unionByName(edge(len(LISTS) + 1, F.lit("]}}")))
     )
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.matching import whole
 from ledgerloom.matching.scoring import Deployed
@@ -45,3 +46,12 @@ def test_a_large_session_needs_no_candidate_lists(spark, monkeypatch):
     monkeypatch.setattr(rec.cand, "phase_edges", never)
     # The session has 20,000 pairs, more than are paired row by row.
     assert sorted(rec.reconcile(led, stm).matches.collect()) == sorted(want)
+
+
+def test_parts_of_nested_documents_move_once(spark):
+    rnd = random.Random(5)
+    result = rec.reconcile(side(spark, rnd, 40, 40), side(spark, rnd, 40, 40))
+    nested = result.nested_documents(records_per_part=4)
+    # Empty lists are found by names; finished parts meet no other table.
+    assert "LeftOuter" not in nested._jdf.queryExecution().optimizedPlan().toString()
+    assert nested.groupBy("session_id").agg(F.count_distinct("list").alias("n")).where("n != 7").count() == 0
