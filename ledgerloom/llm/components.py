@@ -16,8 +16,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the logarithm of the longest path. Parents only fall, so an unchanged sum ends it.
     Joins have a written table on either side, so that a hub's rows can be split.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = written(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v"), "edges")
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    # Turned row by row: a union would work out the edges twice.
+    turned = F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = written(ends.select(turned), "edges")
     state = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("f")), "parents")
     before = _sum(state)
     while True:

@@ -37,6 +37,7 @@ WIDTHS = (22, 21, 21)
 PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0xC75
 HOT = 50_000
+TEXTS = 256
 # Bits of a byte, lowest first.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -68,7 +69,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            # A few texts at a time become Python strings.
+            parts = (batch.column(1).slice(k, TEXTS).to_pylist() for k in range(0, batch.num_rows, TEXTS))
+            found = np.array([fingerprint(t) for part in parts for t in part], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], [id_col, "fingerprint"])
 
     return rows.mapInArrow(run, schema)

@@ -160,3 +160,24 @@ def test_ids_fill_a_window_too(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text")).coalesce(1)
     seen = exact.windows(docs, "doc_id", "text", window_bytes=64_000).collect()
     assert len(seen) >= 5 and sum(len(r["ids"]) for r in seen) == 5000
+
+
+def test_links_are_worked_out_once(spark):
+    given = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            given.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1, 50).selectExpr("id AS a", "id - 1 AS b").unionAll(spark.sql("SELECT 70L, 70L"))
+    found = components.components(rows.mapInArrow(counted, "a long, b long")).collect()
+    assert given.value == 50
+    assert sorted(map(tuple, found)) == [(k, 0) for k in range(50)]
+
+
+def test_fingerprints_of_a_batch_of_many_texts(spark):
+    texts = [None if k % 97 == 0 else f"one {k} two {k % 7} three" for k in range(2 * simhash.TEXTS + 3)]
+    found = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    want = [simhash.fingerprint(t or "") for t in texts]
+    assert [r["fingerprint"] % 2**64 for r in found.sort("doc_id").collect()] == want
