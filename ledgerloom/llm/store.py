@@ -2,27 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from ledgerloom.lineage import shared_folder
-
-
-def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A folder name under the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write once as Parquet in the shared folder and read back.
-
-    Work behind ``df`` runs once however often the result is used, and a lost
-    executor costs no recomputation.
-    """
-    path = fresh_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ledgerloom.lineage import fresh_folder, written  # noqa: F401
 
 
 def file_system(uri: str):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import values
-from ledgerloom.lineage import checkpoint
+from ledgerloom.lineage import checkpoint, written
 from ledgerloom.matching import candidates as cand
 from ledgerloom.matching import scoring
 from ledgerloom.matching.assign import empty_held, settle, settle_small
@@ -384,6 +384,8 @@ def result_documents(result: Reconciliation) -> DataFrame:
         body = F.to_json(F.struct(*[c for c in df.columns if c != SID]))
         return df.select(SID, name.alias("section"), body.alias("body"))
 
+    # All four sections read the matches, most of them a few columns.
+    result = replace(result, matches=written(result.matches, "matches"))
     detailed = result.detailed()
     sections = [
         part(result.summary(), F.lit("summary")),
@@ -419,6 +421,7 @@ def nested_documents(result: Reconciliation, records_per_part: int = RECORDS_PER
     summary is list 0 and the end of the document the last list; an empty list has one
     part without records. Lists are in the order of the statement's ids, or the ledger's for its own rows.
     """
+    result = replace(result, matches=written(result.matches, "matches"))
     matches = result.detailed()
     records = _listed(matches, F.concat(F.lit("matches."), F.col("tier"), F.lit("_confidence")), "statement_txn_id")
     for rows, name in ((result.unmatched_statement, LISTS[3][0]), (result.unmatched_ledger, LISTS[4][0])):

@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import json
 import random
@@ -236,3 +237,23 @@ def test_parts_concatenate_to_one_document(spark, per_part):
         assert len(doc["unmatched"]["image_transactions"]) == one.unmatched_image_transactions
         assert len(doc["unmatched"]["csv_transactions"]) == one.unmatched_csv_transactions
     assert max(p[3].count('"txn_id"') for p in parts) <= 2 * per_part
+
+
+@pytest.mark.parametrize("made", ["documents", "nested_documents"])
+def test_documents_work_out_the_matches_once(spark, made):
+    rows = [("a", k, f"2024-01-{k:02d}", f"Shop {k}", 10.0 * k, "goods") for k in range(1, 8)]
+    schema = "session_id string, txn_id long, date string, vendor string, amount double, description string"
+    ledger = spark.createDataFrame(rows, schema).withColumn("date", F.to_date("date"))
+    result = rec.reconcile(ledger, ledger.where("txn_id > 2").unionByName(ledger.where("txn_id = 1").withColumn("amount", F.lit(None).cast("double"))))
+    want = sorted(map(tuple, getattr(result, made)().collect()))
+    given = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            given.add(batch.num_rows)
+            yield batch
+
+    matches = result.matches.mapInArrow(counted, result.matches.schema)
+    there = result.matches.count()
+    assert sorted(map(tuple, getattr(dataclasses.replace(result, matches=matches), made)().collect())) == want
+    assert given.value == there > 4
