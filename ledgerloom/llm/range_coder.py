@@ -26,6 +26,9 @@ YOUNG = 64
 # Classes of ids: first id and number of bits of the place inside.
 FIRST = np.array([0, 0, 0, 1024, 5120, 21504, 54272], np.int64)
 BITS = np.array([0, 0, 10, 12, 14, 15, 20], np.uint64)
+CLASSES = np.repeat(np.arange(2, 7), np.diff(np.r_[FIRST[2:], MOST_ID])).astype(np.int8)
+# Steps that change places with lanes at once, so that the copies stay in the cache.
+TURNED = 64
 COLUMNS = np.arange(SYMBOLS + 1, dtype=np.int16)
 TARGETS = np.where(COLUMNS[None, :] > np.arange(SYMBOLS)[:, None], FULL, 0).astype(np.int16)
 U32, LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -59,8 +62,8 @@ class _Model:
         one = self.last1 * 40503
         self.at1 = self.base + ((one >> 4) & mask)
         self.at2 = self.base + ((one + self.last2 * 30011 >> 5) & mask)
-        p1 = self.after1.take(self.at1, mode="clip")
-        p2 = self.after2.take(self.at2, mode="clip")
+        p1 = self.after1[self.at1]
+        p2 = self.after2[self.at2]
         # Which predictions exist, and whether the last id was foreseen.
         state = (p2 > 0).view(np.int8)
         state += state
@@ -90,28 +93,30 @@ class _Model:
 
 
 def _encode_lanes(ids: np.ndarray) -> list[bytes]:
-    """ids: (steps, lanes). One payload per lane."""
-    steps, lanes = ids.shape
+    """ids: (lanes, steps). One payload per lane."""
+    lanes, steps = ids.shape
     model = _Model(lanes)
-    classes = np.searchsorted(FIRST[2:], ids, "right") + 1
-    offsets = (ids - FIRST[classes]).astype(np.uint64)
-    following = (ids + 1).astype(np.int32)
-    words = np.zeros(lanes * (steps + 4), np.uint64)
+    # Only what is written is ever touched.
+    words = np.empty(lanes * (steps + 4), np.uint32)
     first = model.lane * (steps + 4)
     pos = first.copy()
     low = np.zeros(lanes, np.uint64)
     span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for step in range(steps):
-        x = following[step]
+        if not step % TURNED:
+            turned = np.ascontiguousarray(ids[:, step : step + TURNED].T, np.int32)
+        x = turned[step % TURNED]
+        symbol = CLASSES.take(x).astype(np.int64)
+        offset = x - FIRST.take(symbol, mode="clip")
+        x += 1
         p2, p1, cum = model.predict()
-        symbol = classes[step]
-        offset = offsets[step]
         hit = p1 == x
-        symbol[hit] = 1
-        offset[hit] = 0
+        np.putmask(symbol, hit, 1)
+        np.putmask(offset, hit, 0)
         hit = p2 == x
-        symbol[hit] = 0
-        offset[hit] = 0
+        np.putmask(symbol, hit, 0)
+        np.putmask(offset, hit, 0)
+        offset = offset.view(np.uint64)
         flat = cum.ravel()
         cell = model.cell + symbol
         lo = flat.take(cell, mode="clip").astype(np.uint64)
@@ -127,7 +132,7 @@ def _encode_lanes(ids: np.ndarray) -> list[bytes]:
         low += lo
         carried = np.flatnonzero(low < lo)
         if carried.size:
-            words[pos[carried] - 1] += np.uint64(1)
+            _carry(words, pos[carried] - 1)
         short = np.flatnonzero(span <= LOW32)
         if short.size:
             at, part = pos.take(short), low.take(short)
@@ -141,11 +146,15 @@ def _encode_lanes(ids: np.ndarray) -> list[bytes]:
         low <<= U32
         pos += 1
     words = words.reshape(lanes, steps + 4)
-    while (over := words >> U32).any():
-        words &= LOW32
-        words[:, :-1] += over[:, 1:]
-    words = words.astype("<u4")
-    return [words[k, :n].tobytes() for k, n in enumerate((pos - first).tolist())]
+    return [words[k, :n].astype("<u4", copy=False).tobytes() for k, n in enumerate((pos - first).tolist())]
+
+
+def _carry(words: np.ndarray, at: np.ndarray) -> None:
+    """Adds one to the words at different places, and to those before them that overflow."""
+    while at.size:
+        sums = words[at] + np.uint32(1)
+        words[at] = sums
+        at = at[sums == 0] - 1
 
 
 def _decode_lanes(payloads: list[bytes], steps: int) -> np.ndarray:
@@ -153,14 +162,15 @@ def _decode_lanes(payloads: list[bytes], steps: int) -> np.ndarray:
     model = _Model(lanes)
     sizes = np.array([len(p) // 4 for p in payloads])
     begin = np.r_[0, np.cumsum(sizes + 2)[:-1]]
-    words = np.frombuffer(b"".join(p + bytes(8) for p in payloads), "<u4").astype(np.uint64)
-    value = (words[begin] << U32) | words[begin + 1]
+    words = np.frombuffer(b"".join([x for p in payloads for x in (p, bytes(8))]), "<u4")
+    value = (words[begin].astype(np.uint64) << U32) | words[begin + 1]
     pos = begin + 2
     span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     most = np.uint64((1 << TOTAL_BITS) - 1)
     limits = (np.uint64(1) << BITS) - np.uint64(1)
     following = (FIRST + 1).astype(np.int32)
-    out = np.empty((steps, lanes), np.int32)
+    out = np.empty((lanes, steps), "<u4")
+    turned = np.empty((TURNED, lanes), np.int32)
     for step in range(steps):
         p2, p1, cum = model.predict()
         span >>= TOTAL
@@ -194,8 +204,10 @@ def _decode_lanes(payloads: list[bytes], steps: int) -> np.ndarray:
             span[short] = span.take(short) << U32
             pos[short] = at + 1
         model.learn(x, symbol, step)
-        out[step] = x
-    out -= 1
+        np.subtract(x, 1, out=turned[step % TURNED])
+        if step % TURNED == TURNED - 1 or step == steps - 1:
+            begun = step // TURNED * TURNED
+            out[:, begun : step + 1] = turned[: step + 1 - begun].T
     return out
 
 
@@ -205,14 +217,13 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
     if len(ids) and int(ids.max()) >= MOST_ID:
         raise ValueError(f"ids must be below {MOST_ID}")
     count = -(-len(ids) // block)
-    padded = np.zeros(count * block, np.int64)
-    padded[: len(ids)] = ids
-    padded = padded.reshape(count, block)
+    parts = [ids[k * block : (k + 1) * block] for k in range(count)]
     out = []
     for first in range(0, count, LANES):
-        lanes = np.ascontiguousarray(padded[first : first + LANES].T)
-        out += _encode_lanes(lanes)
-    parts = [ids[k * block : (k + 1) * block] for k in range(count)]
+        lanes = ids[first * block : (first + LANES) * block]
+        if len(lanes) % block:
+            lanes = np.append(lanes, np.zeros(-len(lanes) % block, ids.dtype))
+        out += _encode_lanes(lanes.reshape(-1, block))
     return [(len(p), zlib.crc32(p.tobytes()), payload) for p, payload in zip(parts, out)]
 
 
@@ -221,9 +232,9 @@ def decode(blocks: list[tuple[int, int, bytes]], block: int = BLOCK) -> np.ndarr
     out = []
     for first in range(0, len(blocks), LANES):
         some = blocks[first : first + LANES]
-        lanes = _decode_lanes([p for _, _, p in some], block).T
+        lanes = _decode_lanes([p for _, _, p in some], block)
         for (n, crc, _), row in zip(some, lanes):
-            ids = row[:n].astype("<u4")
+            ids = row[:n]
             if zlib.crc32(ids.tobytes()) != crc:
                 raise ValueError("a block does not match its checksum")
             out.append(ids)

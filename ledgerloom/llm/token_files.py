@@ -136,8 +136,8 @@ def write(
         with fs.open_output_stream(f"{root}/{name}", compression=None) as stream:
             writer, total = Writer(stream), 0
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = enc.encode(text) + last
+                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
+                    ids += last
                     total += len(ids) // 4
                     writer.add(doc_id, ids)
             writer.close()

@@ -14,12 +14,15 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Unicode's White_Space property.
 SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = {True: re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"), False: re.compile(f"[^{SPACE}]+")}
 # White space that the quick ways of splitting do not read as the patterns above do.
 PLAIN = re.compile(f"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[\t-\r ][\t-\r ]|[\t-\r ]$")
+WHITE = re.compile(f"[{SPACE}]")
 CUT = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 # Punctuation that, behind a letter and before white space, is always a piece of its own.
 TAIL = ".,;:!?*$#%&|"
@@ -28,6 +31,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 LONGEST_KEPT = 64
 MOST_KEPT = 600_000
 JOINED = 2_000
+BATCH_BYTES = 4 << 20
 FORMATS = [f"<{n}I" for n in range(40)]
 
 
@@ -83,34 +87,40 @@ class PieceEncoder:
         return struct.pack(FORMATS[len(ids)] if len(ids) < len(FORMATS) else f"<{len(ids)}I", *ids)
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not in ``known``."""
+        """Ids of pieces that are not in ``known``, and of words inside them."""
         known, older, plain, spaced, word = self.known, self.older, self.plain, self.spaced, self._word
-        out, odd = {}, []
+        out, odd, parts = {}, [], {}
         for p in pieces:
             core = p.rstrip(TAIL)
             bare = core[1:] if spaced and core[:1] == " " else core
             if bare.isascii() and bare.isalpha() or plain(core):
-                if len(core) == len(p):
-                    out[p] = word(p)
-                else:
-                    ids = known.get(core) or older.get(core)
+                if len(core) < len(p):
+                    ids = out.get(core) or known.get(core) or older.get(core)
                     if ids is None:
-                        ids = known[core] = word(core)
+                        ids = known[core] = out[core] = word(core)
                     out[p] = ids + self._tail(p[len(core) :])
+                elif p not in out:
+                    out[p] = word(p)
             elif p in older:
                 out[p] = older[p]
             else:
                 odd.append(p)
         runs = []
         for p in odd:
-            if "\n" in p and len(parts := self.pieces.findall(p)) > 1:
-                out[p] = self._pieces(parts)
-            elif self.spaced and p[0] == "\n" and p[1:].isalpha():
-                out[p] = self._line() + self._pieces([p[1:]])
-            elif self.spaced and (p.isspace() or not p[0].isspace()):
+            found = self.pieces.findall(p)
+            if found != [p]:
+                parts[p] = found
+            elif spaced and p[0] == "\n" and p[1:].rstrip(TAIL).isalpha() and plain(p[1:].rstrip(TAIL)):
+                parts[p] = ["\n", p[1:]]
+            elif spaced and (p.isspace() or not WHITE.match(p)):
                 out[p] = self._whole(p)  # would run into the piece before it
             else:
                 runs.append(p)
+        if parts:
+            # The parts of all pieces are looked up, and learnt, together.
+            single = list({x for found in parts.values() for x in found})
+            ids = dict(zip(single, self._found(single)))
+            out.update((p, b"".join(map(ids.__getitem__, found))) for p, found in parts.items())
         for i in range(0, len(runs), JOINED):
             out.update(zip(runs[i : i + JOINED], self._joined(runs[i : i + JOINED])))
         return out
@@ -119,10 +129,6 @@ class PieceEncoder:
     def _tail(self, tail: str) -> bytes:
         return self._whole(tail)
 
-    @functools.cache
-    def _line(self) -> bytes:
-        return self._whole("\n")
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
@@ -145,19 +151,83 @@ class PieceEncoder:
         return [*self.pieces.findall(first), *[" " + w for w in rest]]
 
     def _pieces(self, pieces: list[str]) -> bytes:
+        return b"".join(self._found(pieces))
+
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece."""
         known, older = self.known, self.older
         ids = list(map(known.get, pieces))
         if None not in ids:
-            return b"".join(ids)
-        missing = {p for p, x in zip(pieces, ids) if x is None}
-        learnt = {p: older[p] for p in missing if p in older} if older else {}
-        if len(learnt) < len(missing):
-            learnt |= self._learn([p for p in missing if p not in learnt])
+            return ids
+        learnt = dict.fromkeys([p for p, x in zip(pieces, ids) if x is None])
+        if older:
+            learnt = dict(zip(learnt, map(older.get, learnt)))
+        if fresh := [p for p, x in learnt.items() if x is None]:
+            learnt |= self._learn(fresh)
         if len(max(learnt, key=len)) <= LONGEST_KEPT:
             known.update(learnt)
         else:
             known.update((p, x) for p, x in learnt.items() if len(p) <= LONGEST_KEPT)
-        return b"".join([learnt[p] if x is None else x for p, x in zip(pieces, ids)])
+        return [learnt[p] if x is None else x for p, x in zip(pieces, ids)]
+
+    def encode_all(self, texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[bytes]:
+        """``encode`` of every text of an Arrow array, about ``most`` bytes at a time.
+
+        Arrow splits the texts and numbers their words, so that each different word of a
+        batch is looked up once; ids are gathered by those numbers.
+        """
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield from self._batch(texts.slice(at, stop - at))
+            at = stop
+
+    def _batch(self, texts: pa.Array) -> Iterator[bytes]:
+        if len(self.known) > MOST_KEPT:
+            self.older, self.known = self.known, {}
+        single = np.zeros(len(texts), bool)
+        for s in self.specials:
+            single |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if self.spaced:
+            # A blank behind white space is no place to cut, and one before a new line would look like one put there.
+            single |= pc.match_substring_regex(texts, f"[{SPACE}] | \n").to_numpy(zero_copy_only=False)
+        shared = texts.filter(pa.array(~single))
+        if self.spaced:
+            shared = pc.replace_substring_regex(shared, f"([^{SPACE}])\n", "\\1 \n")
+        else:
+            shared = pc.replace_substring(shared, "\n", " ")
+        words = pc.split_pattern(shared, " ")
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        numbered = words.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = numbered.indices.to_numpy()
+        last = np.cumsum(counts, dtype=np.int64)
+        if self.spaced:
+            # Words take the blank before them along; the first of a text and those behind a new line have none.
+            first = last - counts
+            leading, number = np.unique(numbers[first], return_inverse=True)
+            numbers = numbers.copy()
+            numbers[first] = len(pieces) + number
+            pieces = [w if w[:1] == "\n" else " " + w for w in pieces] + [pieces[k] for k in leading.tolist()]
+        found = self._found(pieces)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = sizes[numbers]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[numbers] - ends + n, n)
+        place += np.arange(len(place))
+        ids = memoryview(ids[place]).cast("B")
+        cuts = iter((4 * ends[last - 1]).tolist())
+        begin = 0
+        for k, alone in enumerate(single.tolist()):
+            if alone:
+                yield self.encode(texts[k].as_py())
+            else:
+                end = next(cuts)
+                yield bytes(ids[begin:end])
+                begin = end
 
     def lengths(self, texts: list[str]) -> list[int]:
         """How many ids each text of a batch has; pieces new to the worker are encoded once for all texts."""

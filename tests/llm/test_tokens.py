@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -31,6 +33,31 @@ def test_pieces_give_the_librarys_ids(path):
         assert b"".join(map(enc.encode, enc.slices(text, 3))) == expected
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("most", [1, 200, 1 << 20])
+def test_batches_give_the_librarys_ids(path, most):
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    signs = "\t\n\n\x0b\r\x1c\x85\xa0\u2003\u3000 " + "      abAB'sdét12.,;-!?é\u0301İΣß漢🙂"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 16))) for _ in range(2000)]
+    texts += ["", " ", "  ", "a <|endoftext|> b", "\n\nfoo. Bar\nBaz, x", " \nfoo bar\n bar ", "x" * 300 + " y\n", "\x1cab foo\x1c ab"]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    enc = PieceEncoder(path)
+    assert list(enc.encode_all(pa.array(texts), most)) == want
+    assert list(enc.encode_all(pa.array(texts).slice(7, 900), most)) == want[7:907]
+    assert list(enc.encode_all(pa.array([], pa.string()), most)) == []
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_batch_encodes_each_word_once(path, monkeypatch):
+    enc = PieceEncoder(path)
+    asked, word = [], enc._word
+    monkeypatch.setattr(enc, "_word", lambda w: asked.append(w) or word(w))
+    texts = [f"x plain words, words. plain; {w} {w}! words" for w in ("more", "even", "plain")] * 5
+    assert list(enc.encode_all(pa.array(texts))) == [plain_ids(path, t).tobytes() for t in texts]
+    assert len(asked) == len(set(asked))
+
+
 def test_counts_of_odd_rows(make_docs, odd_rows):
     found = token_counts.token_counts(make_docs(odd_rows), WORD, batch_bytes=4096).collect()
     key = lambda r: (r[0] is None, r[0], r[1])
@@ -78,6 +105,24 @@ def test_range_coder_uses_contexts_and_checksums():
         range_coder.encode(np.array([range_coder.MOST_ID], "<u4"))
 
 
+def test_range_coder_holds_little_beside_the_ids():
+    ids = np.random.default_rng(3).zipf(1.3, 512 * range_coder.BLOCK).astype(np.int64) % 50_000
+    ids = ids.astype("<u4")
+    tracemalloc.start()
+    try:
+        blocks = range_coder.encode(ids)
+        assert tracemalloc.get_traced_memory()[1] < 24 * len(ids)
+    finally:
+        tracemalloc.stop()
+    assert (range_coder.decode(blocks) == ids).all()
+
+
+def test_carries_run_through_full_words():
+    words = np.array([5, 0xFFFFFFFF, 0xFFFFFFFF, 7, 8, 9], np.uint32)
+    range_coder._carry(words, np.array([2, 5]))
+    assert words.tolist() == [6, 0, 0, 7, 8, 10]
+
+
 def test_token_files_of_odd_rows(make_docs, odd_rows):
     found = sorted(map(tuple, token_files.token_file_rows(make_docs(odd_rows), WORD, 1).collect()), key=lambda r: r[1])
     assert [r[0] for r in found] == sorted((i for i, _ in odd_rows), key=lambda i: (i is not None, i))
