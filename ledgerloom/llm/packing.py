@@ -64,7 +64,7 @@ def cut(
     taken = zlib.crc32 if checksums else bytes
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         for batch in batches:
             held, sources, pieces, starts, lengths, contents = 0, [], [], [], [], []
 
@@ -72,8 +72,8 @@ def cut(
                 columns = [pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(contents, kind)]
                 return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sources, pa.int64())), *columns], schema.names)
 
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = encoded(text) + last
+            for row, ids in enumerate(encode_all(batch.column(1))):
+                ids += last
                 n = len(ids) // 4
                 if n <= capacity:
                     sources.append(row)
