@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +13,15 @@ from ledgerloom.lineage import checkpoint, written
 from ledgerloom.matching import candidates as cand
 from ledgerloom.matching import scoring
 from ledgerloom.matching.assign import empty_held, settle, settle_small
-from ledgerloom.matching.whole import can_settle, settle_whole
+from ledgerloom.matching.whole import can_settle, matched_rows
 from ledgerloom.operators.ranking import spread_row_number
 
 SID = "session_id"
 # A session with more pairs than this is blocked instead of paired row by row.
 SMALL_SESSION_PAIRS = 16_384
-# Up to so many times as many pairs, a session is settled row by row in one task: 65,536 rows a side.
-WHOLE_SESSION_SHARE = 2**18
+# Up to so many times as many pairs, and so many rows, a session is settled row by row in one task.
+WHOLE_SESSION_SHARE = 2**24
+WHOLE_SESSION_ROWS = 2**20
 # Rows of one look-alike group shown to a phase before a statement row must ask again.
 ROWS_SHOWN = 64
 
@@ -88,8 +90,7 @@ def reconcile(
     """
     rules = scoring.profile(profile)
     led, stm = prepared(ledger, statement, rules, amount_sign)
-    held = assign(led, stm, rules, small_session_pairs, rows_shown)
-    return Reconciliation(ledger, statement, scored_matches(held, led, stm, rules), rules)
+    return Reconciliation(ledger, statement, matched(led, stm, rules, small_session_pairs, rows_shown), rules)
 
 
 def prepared(ledger: DataFrame, statement: DataFrame, rules, amount_sign: str = "as_is"):
@@ -106,32 +107,48 @@ def prepared(ledger: DataFrame, statement: DataFrame, rules, amount_sign: str =
     return side(ledger, "csv", "l", "led"), side(statement, "image", "s", "stmt")
 
 
-def assign(led: DataFrame, stm: DataFrame, rules, small_pairs: int, rows_shown: int) -> DataFrame:
-    """Held pairs: session_id, led, stmt, score."""
-    large = large_sessions(led, stm, small_pairs)
-    if large.isEmpty():
-        return _assign_small(led, stm, rules)
-    out = _assign_small(led.join(large, SID, "left_anti"), stm.join(large, SID, "left_anti"), rules)
-    if can_settle(led, stm, rules):
-        whole = large.where(F.col("pairs") <= small_pairs * WHOLE_SESSION_SHARE)
-        out = out.unionByName(checkpoint(settle_whole(led.join(whole, SID, "left_semi"), stm.join(whole, SID, "left_semi"), rules)))
-        large = large.join(whole, SID, "left_anti")
-        if large.isEmpty():
-            return out
-    big = _assign_large(
-        checkpoint(led.join(large, SID, "left_semi")),
-        checkpoint(stm.join(large, SID, "left_semi")),
-        rules,
-        rows_shown,
+def matched(led: DataFrame, stm: DataFrame, rules, small_pairs: int, rows_shown: int) -> DataFrame:
+    """Scored matches of all sessions, each settled in the way its size asks for."""
+    sizes = checkpoint(session_sizes(led, stm))
+    one_sided, large = F.col("pairs") == 0, F.col("pairs") > small_pairs
+    fits = (F.col("pairs") <= small_pairs * WHOLE_SESSION_SHARE) & (F.col("rows") <= WHOLE_SESSION_ROWS)
+    whole = large & fits & F.lit(can_settle(led, stm, rules))
+    n = sizes.agg(
+        F.count_if(one_sided).alias("one_sided"), F.count_if(large).alias("large"),
+        F.count_if(~one_sided & ~large).alias("small"), F.count_if(whole).alias("whole"),
+    ).first()
+
+    def only(which: Column, how: str = "left_semi") -> tuple[DataFrame, DataFrame]:
+        sessions = sizes.where(which).select(SID)
+        return led.join(sessions, SID, how), stm.join(sessions, SID, how)
+
+    parts, held = [], []
+    if n.whole:
+        # Both rows of a pair leave the task that found it, so neither side is read or joined again.
+        alone = n.whole == n.large and not n.one_sided + n.small
+        rows = written(matched_rows(*((led, stm) if alone else only(whole)), rules), "matched")
+        parts.append(_scored(rules.with_words(rules.with_words(rows, "l_"), "s_"), rules))
+    if n.small or not n.large:
+        held.append(_assign_small(*(only(large, "left_anti") if n.large else (led, stm)), rules))
+    if n.large > n.whole:
+        held.append(_assign_large(*map(checkpoint, only(large & ~whole)), rules, rows_shown))
+    if held:
+        parts.append(scored_matches(reduce(DataFrame.unionByName, held), led, stm, rules))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def session_sizes(led: DataFrame, stm: DataFrame) -> DataFrame:
+    """Rows of both sides and row pairs of every session."""
+    sides = (df.where(F.col(SID).isNotNull()).select(SID, F.lit(k).alias("of_ledger")) for df, k in ((led, 1), (stm, 0)))
+    counted = reduce(DataFrame.unionByName, sides).groupBy(SID).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("of_ledger").alias("nl")
     )
-    return out.unionByName(big)
+    return counted.select(SID, "rows", (F.col("nl") * (F.col("rows") - F.col("nl"))).alias("pairs"))
 
 
 def large_sessions(led: DataFrame, stm: DataFrame, small_pairs: int) -> DataFrame:
     """Sessions with more row pairs than may be compared one by one."""
-    n_led, n_stm = (df.groupBy(SID).agg(F.count(F.lit(1)).alias(n)) for df, n in ((led, "nl"), (stm, "ns")))
-    pairs = n_led.join(n_stm, SID).select(SID, (F.col("nl") * F.col("ns")).alias("pairs"))
-    return checkpoint(pairs.where(F.col("pairs") > small_pairs))
+    return checkpoint(session_sizes(led, stm).where(F.col("pairs") > small_pairs).select(SID, "pairs"))
 
 
 def _with_dictionaries(rules, led: DataFrame, stm: DataFrame) -> cand.Plan:
@@ -196,7 +213,10 @@ def _takeable(led: DataFrame, held: DataFrame, active: DataFrame) -> DataFrame:
 
 def scored_matches(held: DataFrame, led: DataFrame, stm: DataFrame, rules) -> DataFrame:
     """Component scores, labels and texts of the assigned pairs."""
-    pairs = held.select(SID, "led", "stmt").join(led, [SID, "led"]).join(stm, [SID, "stmt"])
+    return _scored(held.select(SID, "led", "stmt").join(led, [SID, "led"]).join(stm, [SID, "stmt"]), rules)
+
+
+def _scored(pairs: DataFrame, rules) -> DataFrame:
     scored = rules.add_scores(pairs)
     confidence = F.round("score", 3)
     return (
