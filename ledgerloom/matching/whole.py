@@ -167,9 +167,11 @@ class _Texts:
             levels = self.levels(k)
             if (len(self.scaled) + 1) * len(self.texts) > KEPT_LEVELS:
                 self.scaled.clear()
-            # Without words two levels are one apart from nought.
-            steps = np.array([0, 1, 2, 3] if self.words is not None else [0, 0, 1, 2], np.uint8) * np.uint8(times)
-            self.scaled[k] = steps[levels], int(levels.max(initial=0))
+            steps = levels.view(np.uint8)
+            if self.words is None:
+                # There is no level of shared words.
+                steps = steps - (steps > 0)
+            self.scaled[k] = steps * np.uint8(times), int(levels.max(initial=0))
         return self.scaled[k]
 
     def level_of_pairs(self, k: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -221,9 +223,11 @@ class _Texts:
         first, end = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
         rarest, *more = np.argsort(end - first)[:2]
         found = inside[first[rarest] : end[rarest]]
-        for k in more:
-            found = found[np.isin(found, inside[first[k] : end[k]])]
-        return np.unique(found)
+        for k in more if len(found) else ():
+            # Both lists are in order.
+            others = inside[first[k] : end[k]]
+            found = found[others[np.minimum(np.searchsorted(others, found), len(others) - 1)] == found]
+        return found[np.diff(found, prepend=-1) > 0]
 
     def _held(self, text: str) -> list[int]:
         """Texts that ``text`` contains."""
